@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from siftline.llm import q_canonical
+from siftline.llm import q_canonical, q_language
 
-REGISTRIES = [q_canonical.REG]
+REGISTRIES = [q_canonical.REG, q_language.REG]
