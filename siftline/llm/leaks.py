@@ -24,7 +24,7 @@ from siftline.session import small_enough, stored
 #: Consecutive words that make a leak.
 RUN = 13
 #: Rarest terms of a window whose lists are intersected first.
-ANCHORS = 3
+ANCHORS = 2
 
 
 def words(text: Column) -> Column:
@@ -85,7 +85,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, k: int = ANCHO
     return runs.where(F.col("words") >= run).groupBy("doc_id", "item_id").agg(F.max("words").cast("int").alias("words"))
 
 
-def proximity(documents: DataFrame, items: DataFrame, k: int = 2 * ANCHORS, slack: int = 3, run: int = RUN) -> DataFrame:
+def proximity(documents: DataFrame, items: DataFrame, k: int = 3 * ANCHORS, slack: int = 3, run: int = RUN) -> DataFrame:
     """doc_id, item_id where all rarest terms of a window stand near their order.
 
     The anchors of a window may each be shifted by up to ``slack`` words against the others,
