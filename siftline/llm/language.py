@@ -22,18 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LANGUAGES = ("es", "pt", "pl", "de", "fr", "en", "ru")
-
-# Spellings of a language in labels.
-SPELLINGS = {
-    "es": ("es", "spa", "esp", "spanish", "castilian"),
-    "pt": ("pt", "por", "portuguese"),
-    "pl": ("pl", "pol", "polish"),
-    "de": ("de", "deu", "ger", "german"),
-    "fr": ("fr", "fra", "fre", "french"),
-    "en": ("en", "eng", "english"),
-    "ru": ("ru", "rus", "russian"),
-}
+from siftline.llm.labels import LANGUAGES, stated
 
 #: Seed prose for each language: everyday sentences with its commonest words.
 SEED = {
@@ -64,15 +53,6 @@ _PLAIN = regex.compile(r"[\p{Ps}\p{Pi}\"'«¿¡*]*([\p{L}\p{M}]+(?:['’-][\p{L}
 _END = regex.compile(r"(?<=[.!?…;])\s+|[\n\r ]+|\s[|=•–—]\s|(?<=[)\]/])\s+|[!?]+(?=\S)")
 
 
-def stated(label: Column) -> Column:
-    """The one language that a label states, else null."""
-    code = F.regexp_extract(F.lower(F.trim(label)), r"^([a-z]+)(?:[-_][a-z0-9]+)*$", 1)
-    out = F.lit(None).cast("string")
-    for lang, words in SPELLINGS.items():
-        out = F.when(code.isin(*words), F.lit(lang)).otherwise(out)
-    return out
-
-
 def segments(text: str) -> list[tuple[str, int]]:
     """Parts of a text that can be a sentence, with the number of their plain words.
 
