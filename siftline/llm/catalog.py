@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from siftline.llm import q_canonical, q_language, q_leaks, q_stuffing
+from siftline.llm import q_canonical, q_language, q_leaks, q_stuffing, q_terms
 
-REGISTRIES = [q_canonical.REG, q_language.REG, q_leaks.REG, q_stuffing.REG]
+REGISTRIES = [q_canonical.REG, q_language.REG, q_leaks.REG, q_stuffing.REG, q_terms.REG]
