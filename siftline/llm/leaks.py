@@ -5,8 +5,8 @@ occurs in the evaluation items; other terms cannot take part in a match. List le
 counted over these postings. Of every window of ``run`` consecutive item words the rarest
 terms are its anchors, and their lists are intersected first, adjusted by offset: an item and
 a document are held together only on a diagonal (position minus offset) on which all anchors
-of a window meet. Only there the remaining lists are intersected, and runs of consecutive
-offsets give the exact phrase matches.
+of a window meet. Only there the words themselves are compared, and runs of equal ones give
+the exact phrase matches.
 
 Terms are words in lower case, a word being an unbroken run of letters and digits, and are
 stored as 64-bit hashes; a match needs ``run`` of them in order. Defined cases: null and empty
@@ -77,12 +77,18 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, k: int = ANCHO
         .drop("hits")
     )
     diagonals = stored(diagonals, "diagonals")
-    hoped = diagonals.join(terms, "item_id").select("item_id", "doc_id", "diag", "off", "term", (F.col("diag") + F.col("off")).alias("pos"))
-    near = lists.join(diagonals.select("doc_id").distinct(), "doc_id", "left_semi")
-    met = hoped.join(near, ["doc_id", "pos", "term"]).select("item_id", "doc_id", "diag", "off")
-    w = Window.partitionBy("item_id", "doc_id", "diag").orderBy("off")
-    runs = met.withColumn("isle", F.col("off") - F.row_number().over(w)).groupBy("item_id", "doc_id", "diag", "isle").agg(F.count("*").alias("words"))
-    return runs.where(F.col("words") >= run).groupBy("doc_id", "item_id").agg(F.max("words").cast("int").alias("words"))
+    # what is left is compared word by word along the diagonal, in documents that have one
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    near = documents.join(diagonals.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", hashed.alias("dw"))
+    asked = items.join(diagonals.select("item_id").distinct(), "item_id", "left_semi").select("item_id", hashed.alias("iw"))
+    low = F.greatest(F.col("diag"), F.lit(0))
+    off = F.greatest(-F.col("diag"), F.lit(0))
+    span = F.least(F.size("dw") - low, F.size("iw") - off)
+    same = F.zip_with(F.slice("dw", low + 1, span), F.slice("iw", off + 1, span), lambda x, y: F.when(x == y, F.lit("1")).otherwise(F.lit("0")))
+    met = diagonals.join(near, "doc_id").join(asked, "item_id").select("doc_id", "item_id", F.array_join(same, "").alias("met"))
+    long = met.where(F.contains("met", F.lit("1" * run)))
+    best = F.array_max(F.transform(F.split("met", "0+"), lambda x: F.length(x)))
+    return long.select("doc_id", "item_id", best.alias("words")).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 
 def proximity(documents: DataFrame, items: DataFrame, k: int = 3 * ANCHORS, slack: int = 3, run: int = RUN) -> DataFrame:
