@@ -1,9 +1,9 @@
 """Matching entities across sources without keys.
 
 Attributes of both sides are brought to one spelling and their bigrams encoded as fixed
-256-bit vectors. Vectors within ``RADIUS`` bits of each other are found exactly by multi-index
-hashing: of eight chunks at least two are equal if no more than six bits differ, so all pairs
-of chunks serve as keys. Every distinct value is indexed once, however many records hold it.
+384-bit vectors. Vectors within ``RADIUS`` bits of each other are found exactly by multi-index
+hashing: of six words at least two are equal if no more than four bits differ, so all pairs of
+words serve as keys. Every distinct value is indexed once, however many records hold it.
 Close pairs are scored by the Dice coefficient of their vectors, and the fields of a pair of
 records are weighed into one score, which a logistic curve, fitted on a bounded sample of pairs
 that share a user name or address exactly, turns into a confidence.
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from siftline.llm.addresses import emails
 from siftline.session import stored
 
-#: Bits that may differ, of 256 in eight chunks.
-RADIUS, BITS, CHUNKS = 6, 256, 8
+#: Bits that may differ, and the words of the vector. A change, loss, gain or swap of letters
+#: alters four bits at most, since the letters of a bigram are unordered.
+RADIUS, WORDS = 4, 6
 #: Least Dice coefficient of agreeing values.
 DICE = 0.68
 #: Weights of the fields in the score.
@@ -56,50 +57,65 @@ def handle(value: Column) -> Column:
     return F.nullif(F.trim(bare), F.lit(""))
 
 
+def bare(value: Column) -> Column:
+    """Letters and digits of a user name or address, without a leading article."""
+    return F.regexp_replace(F.regexp_replace(value, r"^the_", ""), r"[^a-z0-9]", "")
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters, folded, in order."""
     return F.regexp_extract_all(folded(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
 def vector(value: Column) -> list[Column]:
-    """The four words of the bit vector of a value's bigrams."""
+    """The words of the bit vector of a value's bigrams, each taken without order."""
     padded = F.concat(F.lit("^"), value, F.lit("$"))
-    places = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.pmod(F.xxhash64(F.substr(padded, i, F.lit(2))), F.lit(BITS)).cast("int"))
+
+    def place(i: Column) -> Column:
+        x, y = F.substr(padded, i, F.lit(1)), F.substr(padded, i + 1, F.lit(1))
+        return F.pmod(F.xxhash64(F.least(x, y), F.greatest(x, y)), F.lit(64 * WORDS)).cast("int")
+
+    places = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), place)
     one = F.lit(1).cast("long")
-    words = []
-    for k in range(BITS // 64):
-        own = F.filter(places, lambda p: F.floor(p / 64) == k)  # noqa: B023
-        words.append(F.aggregate(own, F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", one, F.pmod(p, F.lit(64))))))
-    return words
+
+    def word(k: int) -> Column:
+        return F.aggregate("places", F.lit(0).cast("long"), lambda a, p: F.when(F.floor(p / 64) == k, a.bitwiseOR(F.call_function("shiftleft", one, F.pmod(p, F.lit(64))))).otherwise(a))
+
+    return [places, *[word(k) for k in range(WORDS)]]
 
 
 def encoded(values: DataFrame) -> DataFrame:
-    """Distinct values with their vectors v0 to v3 and the number of set bits; values: value."""
+    """Stored distinct values with their vectors, set bits and folded vector; values: value."""
     rows = values.where("value is not null and length(value) >= 3").distinct()
-    v = rows.select("value", *[w.alias(f"v{k}") for k, w in enumerate(vector(F.col("value")))])
-    return v.withColumn("ones", sum(F.bit_count(f"v{k}") for k in range(4)))
+    places, *words = vector(F.col("value"))
+    v = stored(rows.withColumn("places", places), "places").select(F.xxhash64("value").alias("id"), "value", *[w.alias(f"v{k}") for k, w in enumerate(words)])
+    fold = F.col("v0")
+    for k in range(1, WORDS):
+        fold = fold.bitwiseXOR(F.col(f"v{k}"))
+    return stored(v.withColumn("ones", sum(F.bit_count(f"v{k}") for k in range(WORDS))).withColumn("fold", fold), "vectors")
 
 
 def _keys(v: DataFrame, side: str) -> DataFrame:
-    chunk = [F.shiftrightunsigned(f"v{k // 2}", 32 * (k % 2)).bitwiseAND(0xFFFFFFFF) for k in range(CHUNKS)]
-    pairs = F.array(*[F.struct(F.lit(i * CHUNKS + j).alias("which"), chunk[i].alias("c"), chunk[j].alias("d")) for i in range(CHUNKS) for j in range(i + 1, CHUNKS)])
-    names = [F.col(c).alias(f"{c}_{side}") for c in ("value", "v0", "v1", "v2", "v3", "ones")]
-    return v.select(*names, F.explode(pairs).alias("key")).select("key.which", "key.c", "key.d", *names_of(side))
-
-
-def names_of(side: str) -> list[str]:
-    return [f"{c}_{side}" for c in ("value", "v0", "v1", "v2", "v3", "ones")]
+    """One row for each pair of words of a vector: narrow, as these rows are many."""
+    pairs = F.array(*[F.xxhash64(F.lit(i * WORDS + j), F.col(f"v{i}"), F.col(f"v{j}")) for i in range(WORDS) for j in range(i + 1, WORDS)])
+    return v.select(F.explode(pairs).alias("key"), F.col("id").alias(f"id_{side}"), F.col("fold").alias(f"fold_{side}"))
 
 
 def close_values(left: DataFrame, right: DataFrame, radius: int = RADIUS, dice: float = DICE) -> DataFrame:
-    """value_a, value_b and dice of all pairs within the radius and of enough similarity."""
-    if not 0 <= radius <= CHUNKS - 2:
-        raise ValueError("two equal chunks are sure only up to a radius of six bits")
-    a, b = _keys(encoded(left), "a"), _keys(encoded(right), "b")
-    apart = sum(F.bit_count(F.col(f"v{k}_a").bitwiseXOR(F.col(f"v{k}_b"))) for k in range(4))
+    """value_a, value_b and dice of all pairs within the radius and of enough similarity.
+
+    With six words and four differing bits two words at least are equal, so every pair within
+    the radius shares a key. The folded vectors differ in no more bits than the whole ones.
+    """
+    if not 0 <= radius <= WORDS - 2:
+        raise ValueError("two equal words are sure only up to a radius of four bits")
+    va, vb = encoded(left), encoded(right)
+    met = _keys(va, "a").join(_keys(vb, "b"), "key").where(F.bit_count(F.col("fold_a").bitwiseXOR(F.col("fold_b"))) <= radius).select("id_a", "id_b").distinct()
+    a = va.select(*[F.col(c).alias(f"{c}_a") for c in va.columns])
+    b = vb.select(*[F.col(c).alias(f"{c}_b") for c in vb.columns])
+    apart = sum(F.bit_count(F.col(f"v{k}_a").bitwiseXOR(F.col(f"v{k}_b"))) for k in range(WORDS))
     total = F.col("ones_a") + F.col("ones_b")
-    met = a.join(b, ["which", "c", "d"]).where((F.abs(F.col("ones_a") - F.col("ones_b")) <= radius) & (apart <= radius) & (total - apart >= dice * total))
-    return met.select("value_a", "value_b", ((total - apart) / total).alias("dice")).distinct()
+    return met.join(a, "id_a").join(b, "id_b").where((apart <= radius) & (total - apart >= dice * total)).select("value_a", "value_b", ((total - apart) / total).alias("dice"))
 
 
 def people(persons: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -135,11 +151,11 @@ def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
     handles_l, mails_l, names_l, firms_l = (stored(x, "lead") for x in authors(leads))
 
     def plain(df: DataFrame) -> DataFrame:
-        return df.select(F.regexp_replace("value", r"[^a-z0-9]", "").alias("value"))
+        return df.select(bare(F.col("value")).alias("value"))
 
     def field(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.withColumn("value_a", F.regexp_replace("value", r"[^a-z0-9]", ""))
-        b = right.withColumn("value_b", F.regexp_replace("value", r"[^a-z0-9]", ""))
+        a = left.withColumn("value_a", bare(F.col("value")))
+        b = right.withColumn("value_b", bare(F.col("value")))
         near = close_values(plain(left), plain(right))
         near = near.join(a.select(F.col("id").alias("person"), "value_a", F.col("value").alias("x")), "value_a").join(b.select(F.col("id").alias("lead"), "value_b", F.col("value").alias("y")), "value_b")
         return near.select("person", "lead", F.lit(name).alias("field"), "dice", (F.col("x") == F.col("y")).alias("same"))
