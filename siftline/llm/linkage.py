@@ -145,6 +145,18 @@ def authors(leads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     return handles, mails, names, firms
 
 
+def surnames(names: DataFrame) -> DataFrame:
+    """id, at, value and t: of every name the word that the fewest names have, then the longest.
+
+    First names are shared by many; sought by them, a name would meet all their bearers.
+    """
+    every = names.select("id", F.posexplode("t").alias("at", "value"), "t").where(F.length("value") >= 3)
+    common = every.groupBy("value").agg(F.count("*").alias("bearers"))
+    rated = every.join(common, "value")
+    chosen = rated.groupBy("id", "t").agg(F.min_by(F.struct("at", "value"), F.struct("bearers", -F.length("value"), "at")).alias("s"))
+    return chosen.select("id", "s.at", "s.value", "t")
+
+
 def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
     """person, lead, field, dice and whether the values are the same, for every agreeing attribute."""
     handles_p, mails_p, words_p = (stored(x, "person") for x in people(persons))
@@ -161,7 +173,7 @@ def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
         return near.select("person", "lead", F.lit(name).alias("field"), "dice", (F.col("x") == F.col("y")).alias("same"))
 
     # names and companies are both sought among the words of the bio, in one index
-    surname = names_l.select("id", F.posexplode("t").alias("at", "value"), "t").where(F.length("value") >= 4)
+    surname = stored(surnames(names_l), "surnames")
     wanted = surname.select("value").unionByName(firms_l.select("value"))
     close = stored(close_values(words_p.where(F.length("value") >= 4).select("value"), wanted), "close")
     said = words_p.select(F.col("id").alias("person"), "pos", F.col("value").alias("value_a"))
