@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import delivery
+from siftline.plans import delivery, records
 
-REGISTRIES = [delivery.REG]
+REGISTRIES = [records.REG, delivery.REG]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.REG.queries["p1_messages"](spark, sf_dir)
+    return records.REG.queries["gate_funnel"](spark, sf_dir)
