@@ -1,9 +1,9 @@
 """Matching entities across sources without keys.
 
 Attributes of both sides are brought to one spelling and their bigrams encoded as fixed
-384-bit vectors. Vectors within ``RADIUS`` bits of each other are found exactly by multi-index
-hashing: of six words at least two are equal if no more than four bits differ, so all pairs of
-words serve as keys. Every distinct value is indexed once, however many records hold it.
+512-bit vectors. Vectors within ``RADIUS`` bits of each other are found exactly by multi-index
+hashing: of eight words at least four are equal if no more than four bits differ, and two of
+them lie in the same of three groups, so the seven pairs inside the groups serve as keys. Every distinct value is indexed once, however many records hold it.
 Close pairs are scored by the Dice coefficient of their vectors, and the fields of a pair of
 records are weighed into one score, which a logistic curve, fitted on a bounded sample of pairs
 that share a user name or address exactly, turns into a confidence.
@@ -26,7 +26,9 @@ from siftline.session import stored
 
 #: Bits that may differ, and the words of the vector. A change, loss, gain or swap of letters
 #: alters four bits at most, since the letters of a bigram are unordered.
-RADIUS, WORDS = 4, 6
+RADIUS, WORDS = 4, 8
+#: Groups of words; of any four words two lie in the same group, so its pairs serve as keys.
+GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 #: Least Dice coefficient of agreeing values.
 DICE = 0.68
 #: Weights of the fields in the score.
@@ -97,18 +99,17 @@ def encoded(values: DataFrame) -> DataFrame:
 
 def _keys(v: DataFrame, side: str) -> DataFrame:
     """One row for each pair of words of a vector: narrow, as these rows are many."""
-    pairs = F.array(*[F.xxhash64(F.lit(i * WORDS + j), F.col(f"v{i}"), F.col(f"v{j}")) for i in range(WORDS) for j in range(i + 1, WORDS)])
+    pairs = F.array(*[F.xxhash64(F.lit(i * WORDS + j), F.col(f"v{i}"), F.col(f"v{j}")) for g in GROUPS for i in g for j in g if i < j])
     return v.select(F.explode(pairs).alias("key"), F.col("id").alias(f"id_{side}"), F.col("fold").alias(f"fold_{side}"))
 
 
 def close_values(left: DataFrame, right: DataFrame, radius: int = RADIUS, dice: float = DICE) -> DataFrame:
     """value_a, value_b and dice of all pairs within the radius and of enough similarity.
 
-    With six words and four differing bits two words at least are equal, so every pair within
-    the radius shares a key. The folded vectors differ in no more bits than the whole ones.
+    Every pair within the radius shares a key. The folded vectors differ in no more bits than the whole ones.
     """
-    if not 0 <= radius <= WORDS - 2:
-        raise ValueError("two equal words are sure only up to a radius of four bits")
+    if not 0 <= radius <= WORDS - 4:
+        raise ValueError("four equal words are sure only up to a radius of four bits")
     va, vb = encoded(left), encoded(right)
     met = _keys(va, "a").join(_keys(vb, "b"), "key").where(F.bit_count(F.col("fold_a").bitwiseXOR(F.col("fold_b"))) <= radius).select("id_a", "id_b").distinct()
     a = va.select(*[F.col(c).alias(f"{c}_a") for c in va.columns])
@@ -158,7 +159,7 @@ def surnames(names: DataFrame) -> DataFrame:
 
 
 def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
-    """person, lead, field, dice and whether the values are the same, for every agreeing attribute."""
+    """person, lead, field, dice and whether the values are the same, for every two agreeing values."""
     handles_p, mails_p, words_p = (stored(x, "person") for x in people(persons))
     handles_l, mails_l, names_l, firms_l = (stored(x, "lead") for x in authors(leads))
 
@@ -187,7 +188,7 @@ def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
     agree = F.exists(rest, lambda x: F.when((F.length(x) == 1) | (F.length("other") == 1), F.substr(x, F.lit(1), F.lit(1)) == F.substr("other", F.lit(1), F.lit(1))).otherwise(F.levenshtein(x, F.col("other")) <= F.when(F.length(x) >= 5, 2).otherwise(1)))
     name = both.where(agree).select("person", "lead", F.lit("name").alias("field"), "dice", F.lit(False).alias("same"))
     every = field("username", handles_p, handles_l).unionByName(field("email", mails_p, mails_l)).unionByName(firm).unionByName(name)
-    return every.groupBy("person", "lead", "field").agg(F.max("dice").alias("dice"), F.max("same").alias("same"))
+    return every
 
 
 def curve(pairs: DataFrame) -> tuple[float, float]:
@@ -218,16 +219,20 @@ def curve(pairs: DataFrame) -> tuple[float, float]:
 def matches(persons: DataFrame, leads: DataFrame) -> DataFrame:
     """person, lead, fields, score and confidence of all matches."""
     found = agreements(persons, leads)
-    weigh = F.lit(0.0)
-    for k, w in WEIGHTS.items():
-        weigh = F.when(F.col("field") == k, F.lit(w)).otherwise(weigh)
-    sure = F.col("same") & F.col("field").isin("username", "email")
-    pairs = found.groupBy("person", "lead").agg(
-        F.array_sort(F.collect_set("field")).alias("fields"),  # four at most
-        F.sum(F.when(sure, 0.0).otherwise(weigh * F.col("dice"))).alias("score"),
-        F.max(sure).alias("sure"),
+    best = {k: F.max(F.when(F.col("field") == k, F.col("dice"))).alias(k) for k in WEIGHTS}
+    sure = {f"same_{k}": F.max((F.col("field") == k) & F.col("same")).alias(f"same_{k}") for k in ("username", "email")}
+    rows = found.groupBy("person", "lead").agg(*best.values(), *sure.values())
+    scored = [F.when(F.col(k).isNull() | F.col(f"same_{k}") if f"same_{k}" in sure else F.col(k).isNull(), 0.0).otherwise(F.col(k) * w) for k, w in WEIGHTS.items()]
+    pairs = stored(
+        rows.select(
+            "person",
+            "lead",
+            F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in sorted(WEIGHTS)])).alias("fields"),
+            sum(scored, F.lit(0.0)).alias("score"),
+            (F.col("same_username") | F.col("same_email")).alias("sure"),
+        ),
+        "pairs",
     )
-    pairs = stored(pairs, "pairs")
     a, b = curve(pairs)
     confidence = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) + F.lit(b) * F.col("score"))))
     return pairs.where(F.col("sure") | (F.size("fields") >= 2)).withColumn("confidence", F.round(F.when(F.col("sure"), F.greatest(confidence, F.lit(0.95))).otherwise(confidence), 4)).select("person", "lead", "fields", "score", "confidence")

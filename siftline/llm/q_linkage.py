@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from siftline.llm import linkage as K
 from siftline.llm.canonical import canonical
 from siftline.plans.registry import Registry
-from siftline.session import table
+from siftline.session import stored, table
 
 REG = Registry()
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     persons = table(spark, sf_dir, "telegram_person_doc").select(F.col("user_id").alias("id"), F.col("person_username").alias("username"), "profile_bio").where("id is not null")
-    persons = canonical(persons, "profile_bio", "bio").select("id", "username", "bio")
+    persons = stored(canonical(persons, "profile_bio", "bio").select("id", "username", "bio"), "persons")
     leads = table(spark, sf_dir, "lead_doc").select(F.col("hash_id").alias("id"), "contacts", F.col("display_name").alias("display"), F.col("company_name").alias("company")).where("id is not null")
     return K.matches(persons, leads)
 
