@@ -90,7 +90,7 @@ def encoded(values: DataFrame) -> DataFrame:
     """Stored distinct values with their vectors, set bits and folded vector; values: value."""
     rows = values.where("value is not null and length(value) >= 3").distinct()
     places, *words = vector(F.col("value"))
-    v = stored(rows.withColumn("places", places), "places").select(F.xxhash64("value").alias("id"), "value", *[w.alias(f"v{k}") for k, w in enumerate(words)])
+    v = rows.withColumn("places", places).select(F.xxhash64("value").alias("id"), "value", *[w.alias(f"v{k}") for k, w in enumerate(words)])
     fold = F.col("v0")
     for k in range(1, WORDS):
         fold = fold.bitwiseXOR(F.col(f"v{k}"))
@@ -178,8 +178,6 @@ def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
     wanted = surname.select("value").unionByName(firms_l.select("value"))
     close = stored(close_values(words_p.where(F.length("value") >= 4).select("value"), wanted), "close")
     said = words_p.select(F.col("id").alias("person"), "pos", F.col("value").alias("value_a"))
-    firm = close.join(firms_l.select(F.col("id").alias("lead"), F.col("value").alias("value_b")), "value_b").join(said, "value_a")
-    firm = firm.select("person", "lead", F.lit("company").alias("field"), "dice", F.lit(False).alias("same"))
     # a name needs its other part beside it: in full on both sides, or an initial on either
     met = close.join(surname.select(F.col("id").alias("lead"), F.col("value").alias("value_b"), "at", "t"), "value_b").join(said, "value_a")
     beside = words_p.select(F.col("id").alias("person"), F.col("pos").alias("near"), F.col("value").alias("other"))
@@ -187,8 +185,12 @@ def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
     rest = F.filter("t", lambda x, i: i != F.col("at"))
     agree = F.exists(rest, lambda x: F.when((F.length(x) == 1) | (F.length("other") == 1), F.substr(x, F.lit(1), F.lit(1)) == F.substr("other", F.lit(1), F.lit(1))).otherwise(F.levenshtein(x, F.col("other")) <= F.when(F.length(x) >= 5, 2).otherwise(1)))
     name = both.where(agree).select("person", "lead", F.lit("name").alias("field"), "dice", F.lit(False).alias("same"))
-    every = field("username", handles_p, handles_l).unionByName(field("email", mails_p, mails_l)).unionByName(firm).unionByName(name)
-    return every
+    other = stored(field("username", handles_p, handles_l).unionByName(field("email", mails_p, mails_l)).unionByName(name), "agree")
+    # a company alone is no evidence, and is shared by many: it is compared only where something else agrees
+    candidates = other.select("person", "lead").distinct()
+    firm = candidates.join(firms_l.select(F.col("id").alias("lead"), F.col("value").alias("value_b")).distinct(), "lead").join(close, "value_b")
+    firm = firm.join(said.select("person", "value_a").distinct(), ["person", "value_a"])
+    return other.unionByName(firm.select("person", "lead", F.lit("company").alias("field"), "dice", F.lit(False).alias("same")))
 
 
 def curve(pairs: DataFrame) -> tuple[float, float]:
