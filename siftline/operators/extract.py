@@ -25,7 +25,7 @@ def _all(c: Column, pattern: str) -> Column:
 
 
 def emails(c: Column) -> Column:
-    return F.array_distinct(F.transform(_all(c, EMAIL), F.lower))
+    return F.array_distinct(F.transform(_all(c, EMAIL), lambda x: F.lower(x)))
 
 
 def without_emails(c: Column) -> Column:
@@ -35,7 +35,7 @@ def without_emails(c: Column) -> Column:
 def handles(c: Column) -> Column:
     """Handles written with an at-sign or as a link, in lower case; addresses are no handles."""
     bare = without_emails(c)
-    return F.array_distinct(F.concat(F.transform(_all(bare, HANDLE), F.lower), F.transform(_all(bare, LINK_HANDLE), F.lower)))
+    return F.array_distinct(F.concat(F.transform(_all(bare, HANDLE), lambda x: F.lower(x)), F.transform(_all(bare, LINK_HANDLE), lambda x: F.lower(x))))
 
 
 def urls(c: Column) -> Column:
@@ -153,7 +153,7 @@ def robots_sitemaps(text: Column) -> Column:
 def seller_lines(body: Column) -> Column:
     """Lines of an ads.txt file as struct(domain, pub_id, relation, cert_id); comments and variables left out."""
     lines = F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"#.*$", "")))
-    rows = F.transform(lines, lambda x: F.transform(F.split(x, ","), F.trim))
+    rows = F.transform(lines, lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y)))
     good = F.filter(rows, lambda r: (F.size(r) >= 3) & (F.length(r[0]) > 0) & (F.length(r[1]) > 0) & F.upper(r[2]).isin("DIRECT", "RESELLER"))
     return F.transform(good, lambda r: F.struct(F.lower(r[0]).alias("domain"), r[1].alias("pub_id"), F.upper(r[2]).alias("relation"), F.try_element_at(r, F.lit(4)).alias("cert_id")))
 

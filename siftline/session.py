@@ -29,17 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read: spark.checkpoint.dir of the session.
+    """Folder of this application below spark.checkpoint.dir, which every executor can read.
 
-    Where the cluster names none (tests, a local session) a folder of this machine is
-    set for this session only.
+    Where the session names none (tests, a local session) a folder of this machine is made.
+    What lies in it is deleted when the application ends.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftline-")
+        where = f"{base.rstrip('/')}/siftline-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWN[app] = where
+    return _OWN[app]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
