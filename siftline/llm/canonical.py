@@ -39,7 +39,8 @@ CYRILLIC_SMALL_AS_LATIN = "kmhtbr"
 
 #: Decomposition tags that mark a width or a style rather than another character.
 STYLES = ("<wide>", "<narrow>", "<font>", "<circle>")
-#: Format characters and fillers that leave no trace on the page.
+#: Fillers that leave no trace on the page, like the format characters; those of Arabic and of
+#: older scripts are signs that show, and stay.
 INVISIBLE_EXTRA = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0)
 
 
@@ -63,7 +64,7 @@ class Mapping:
                     self._add(ch, plain)
             elif kind == "Zs":
                 self._add(ch, " ")
-            elif kind == "Cf" and not 0xE0000 <= cp or 0xFE00 <= cp <= 0xFE0F:
+            elif kind == "Cf" and cp < 0xE0000 and not (0x600 <= cp <= 0x8FF and cp != 0x61C) and not 0x11000 <= cp <= 0x1345F or 0xFE00 <= cp <= 0xFE0F:
                 self._add(ch, "")
         self.latin = self._pairs(CYRILLIC + GREEK + CYRILLIC_SMALL, CYRILLIC_AS_LATIN + GREEK_AS_LATIN + CYRILLIC_SMALL_AS_LATIN)
         self.cyrillic = self._pairs(CYRILLIC_AS_LATIN + CYRILLIC_SMALL_AS_LATIN, CYRILLIC + CYRILLIC_SMALL)
@@ -148,7 +149,7 @@ def mapping() -> Mapping:
 
 #: What a text must hold for the mapping to change it; every key of the mapping falls in here.
 SUSPECT = (
-    r"[\p{M}\p{Cf}[\p{Zs}&&[^ ]]͏ᅟᅠ឴឵ㅤ＀-￯℀-⅏①-⓿㈀-㋿ﬠ-﬩\x{1D400}-\x{1D7FF}\x{1EE00}-\x{1EEFF}\x{1F100}-\x{1F16F}\x{1FBF0}-\x{1FBF9}]"
+    r"[\p{M}\p{Cf}[\p{Zs}&&[^ ]]͏ᅟᅠ឴឵ㅤ＀-￯℀-⅏①-⓿㈀-㋿ﬠ-﬩\x{1D400}-\x{1D7FF}\x{1EE00}-\x{1EEFF}\x{1F100}-\x{1F2FF}\x{1FBF0}-\x{1FBF9}]"
     r"|\p{IsLatin}\p{N}*[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{N}*\p{IsLatin}|\p{IsCyrillic}\p{N}*\p{IsGreek}|\p{IsGreek}\p{N}*\p{IsCyrillic}"
 )
 

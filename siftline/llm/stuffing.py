@@ -27,6 +27,8 @@ from siftline.session import stored
 #: Share of a language's pages that must hold a word of its prose. Bounds the word list: a
 #: page has few hundred distinct words, so at most that many divided by this share can pass.
 MIN_SHARE = 0.02
+#: Pages that must hold it in any case, so that one page's own words are not taken for prose.
+MIN_PAGES = 5
 #: Times that the middle language must be exceeded.
 SPECIFIC = 4.0
 #: Part of the usual prose share below which a page is spam, alone or with an extreme curve.
@@ -41,7 +43,7 @@ def prose_words(documents: DataFrame, min_share: float = MIN_SHARE, specific: fl
     held = known.select("lang", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).where(~F.col("w").rlike(r"\p{N}"))
     pages = known.groupBy("lang").agg(F.count("*").alias("pages"))
     count = held.groupBy(F.xxhash64("w").alias("word"), "lang").agg(F.count("*").alias("n"))
-    share = count.join(F.broadcast(pages), "lang").groupBy("word").pivot("lang", list(LANGUAGES)).agg(F.sum(F.col("n") / F.col("pages")))
+    share = count.where(F.col("n") >= MIN_PAGES).join(F.broadcast(pages), "lang").groupBy("word").pivot("lang", list(LANGUAGES)).agg(F.sum(F.col("n") / F.col("pages")))
     every = F.array(*[F.coalesce(F.col(k), F.lit(0.0)) for k in LANGUAGES])
     ranked = share.withColumn("s", F.array_sort(every))
     best = F.array_max(F.array(*[F.struct(F.coalesce(F.col(k), F.lit(0.0)).alias("s"), F.lit(k).alias("lang")) for k in LANGUAGES]))
@@ -95,9 +97,11 @@ def spam_pages(documents: DataFrame, least: float = LEAST, suspect: float = SUSP
         F.count("*").alias("n"),
     )
     whole = pages.groupBy("lang").agg(F.percentile_approx("prose", 0.5).alias("lang_prose"))
-    held = pages.join(F.broadcast(usual), ["lang", "length"]).join(F.broadcast(whole), "lang")
+    every = pages.agg(F.percentile_approx("prose", 0.5).alias("any_prose"))
+    held = pages.join(F.broadcast(usual), ["lang", "length"]).join(F.broadcast(whole), "lang").crossJoin(F.broadcast(every))  # one row
     expected = F.when(F.col("n") >= 20, F.greatest("usual_prose", F.col("lang_prose") * 0.9)).otherwise(F.col("lang_prose"))
-    part = F.try_divide(F.col("prose"), expected)
+    # pages without any prose can make up a language of their own; they are held against all
+    part = F.try_divide(F.col("prose"), F.when(expected > 0, expected).otherwise(F.col("any_prose")))
     far = F.greatest(
         F.abs(F.try_divide(F.col("slope") - F.col("usual_slope"), F.col("sd_slope"))),
         F.abs(F.try_divide(F.col("residual") - F.col("usual_residual"), F.col("sd_residual"))),
