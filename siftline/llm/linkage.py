@@ -94,7 +94,7 @@ def encoded(values: DataFrame) -> DataFrame:
     fold = F.col("v0")
     for k in range(1, WORDS):
         fold = fold.bitwiseXOR(F.col(f"v{k}"))
-    return stored(v.withColumn("ones", sum(F.bit_count(f"v{k}") for k in range(WORDS))).withColumn("fold", fold.bitwiseXOR(F.shiftrightunsigned(fold, 32)).cast("int")), "vectors")
+    return stored(v.withColumn("ones", sum(F.bit_count(f"v{k}") for k in range(WORDS))).withColumn("fold", fold.bitwiseXOR(F.shiftrightunsigned(fold, 32)).bitwiseAND(0x7FFFFFFF).cast("int")), "vectors")
 
 
 def _keys(v: DataFrame, side: str) -> DataFrame:
