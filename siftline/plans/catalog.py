@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import delivery, records, reports
+from siftline.plans import delivery, feedback, records, reports
 
-REGISTRIES = [records.REG, reports.REG, delivery.REG]
+REGISTRIES = [records.REG, reports.REG, feedback.REG, delivery.REG]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
