@@ -172,17 +172,28 @@ def heat(sightings: DataFrame, as_of: Column) -> DataFrame:
     return agg.withColumn("heat", hot).withColumn("tier", tier)
 
 
-def link_suggestions(held: DataFrame, label: str = "label") -> DataFrame:
+#: Entities of a key, on average, that one block holds; a pair of blocks is compared in one piece.
+LINK_BLOCK = 1_000
+
+
+def link_suggestions(held: DataFrame, label: str = "label", block: int = LINK_BLOCK) -> DataFrame:
     """Pairs of entities, a < b, that share an identity key but differ in label; held: entity, key, label.
 
     Keys that only one entity has are dropped first; each pair comes once with its keys counted.
+    The entities of a hot key are cut into blocks by hash, and every two blocks meet under a join
+    key of their own, so no task compares more than two blocks of it; no pair is left out.
     """
     rows = held.select("entity", "key", label).distinct()
-    shared = rows.groupBy("key").agg(F.count_distinct("entity").alias("n")).where("n > 1").select("key")
-    near = rows.join(shared, "key", "left_semi")
-    a, b = near.alias("a"), near.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.entity") < F.col("b.entity")) & ~F.col(f"a.{label}").eqNullSafe(F.col(f"b.{label}")))
-    return pairs.groupBy(F.col("a.entity").alias("a"), F.col("b.entity").alias("b")).agg(F.count_distinct(F.col("a.key")).alias("shared"))
+    shared = rows.groupBy("key").agg(F.count_distinct("entity").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    near = rows.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
+    # one entity lies in one block of a key, so entities of different blocks differ
+    a = near.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("a")
+    b = near.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).alias("b")
+    cell = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    once = (F.col("a.i") < F.col("a.j")) | (F.col("a.entity") < F.col("b.entity"))
+    pairs = a.join(b, cell & once & ~F.col(f"a.{label}").eqNullSafe(F.col(f"b.{label}")))
+    low, high = F.least("a.entity", "b.entity"), F.greatest("a.entity", "b.entity")
+    return pairs.groupBy(low.alias("a"), high.alias("b")).agg(F.count_distinct(F.col("a.key")).alias("shared"))
 
 
 def thread_windows(messages: DataFrame, by: list[str], order: list[str], text: str, last: int = 6) -> DataFrame:

@@ -323,6 +323,20 @@ a AS (SELECT x.entity AS a, y.entity AS b, x.key FROM k x JOIN k y ON x.key = y.
 SELECT a, b, count(DISTINCT key) AS shared FROM a GROUP BY a, b
 """)
 def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that share a key but not the label."""
-    rows = table(spark, sf_dir, "telegram_person_doc").where("user_id is not null and source_chat is not null and source_chat not like '%tracker_ops%'")
-    return entity.link_suggestions(rows.select(F.col("user_id").alias("entity"), F.col("source_chat").alias("key"), F.col("outreach_fit").alias("label")))
+    """Pairs that share a key but not the label, without the chats of tracker_ops as its SQL states; whole in link_suggestions_all."""
+    return entity.link_suggestions(_chat_labels(spark, sf_dir).where("key not like '%tracker_ops%'"))
+
+
+def _chat_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "telegram_person_doc").where("user_id is not null and source_chat is not null")
+    return rows.select(F.col("user_id").alias("entity"), F.col("source_chat").alias("key"), F.col("outreach_fit").alias("label"))
+
+
+@REG.query("link_suggestions_all", r"""
+WITH k AS (SELECT DISTINCT user_id AS entity, source_chat AS key, outreach_fit AS label FROM telegram_person_doc WHERE user_id IS NOT NULL AND source_chat IS NOT NULL),
+a AS (SELECT x.entity AS a, y.entity AS b, x.key FROM k x JOIN k y ON x.key = y.key AND x.entity < y.entity AND x.label IS DISTINCT FROM y.label)
+SELECT a, b, count(DISTINCT key) AS shared FROM a GROUP BY a, b
+""")
+def link_suggestions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that share a key but not the label, over all chats, the hot one too."""
+    return entity.link_suggestions(_chat_labels(spark, sf_dir))

@@ -207,3 +207,25 @@ def test_link_suggestions(spark):
         if k1 == k2 and e1 < e2 and l1 != l2:
             brute.setdefault((e1, e2), set()).add(k1)
     assert got == {(a, b, len(k)) for (a, b), k in brute.items()}
+
+
+def test_link_suggestions_of_a_hot_key(spark):
+    random.seed(5)
+    held = [(i, "hot", random.choice(["x", "y", None])) for i in range(90)] + [(i, f"k{i % 7}", random.choice("xy")) for i in range(60)] + [(3, "hot", "z")]
+    brute = {}
+    for (e1, k1, l1), (e2, k2, l2) in itertools.product(held, held):
+        if k1 == k2 and e1 < e2 and l1 != l2:
+            brute.setdefault((e1, e2), set()).add(k1)
+    df = spark.createDataFrame(held, "entity bigint, key string, label string")
+    for block in (1, 8, 1_000):
+        got = [tuple(r) for r in entity.link_suggestions(df, block=block).collect()]
+        assert sorted(got) == sorted((a, b, len(k)) for (a, b), k in brute.items())
+
+
+def test_link_suggestions_all_takes_every_chat(spark, tmp_path):
+    from siftline.plans import reports as plans
+
+    rows = [(1, "tracker_ops_hub", "yes"), (2, "tracker_ops_hub", "no"), (3, "deals", "yes"), (4, "deals", "no"), (None, "deals", "no"), (5, None, "yes")]
+    spark.createDataFrame(rows, "user_id bigint, source_chat string, outreach_fit string").write.parquet(f"{tmp_path}/telegram_person_doc.parquet")
+    assert {tuple(r) for r in plans.link_suggestions_all(spark, str(tmp_path)).collect()} == {(1, 2, 1), (3, 4, 1)}
+    assert {tuple(r) for r in plans.link_suggestions(spark, str(tmp_path)).collect()} == {(3, 4, 1)}
