@@ -89,15 +89,17 @@ def linked(sightings: DataFrame) -> DataFrame:
     return sightings.join(found.withColumnRenamed("node", "seq"), "seq", "left").withColumn("component", F.coalesce("component", "seq"))
 
 
-def replay(sightings: DataFrame) -> DataFrame:
+def replay(sightings: DataFrame, arrival: tuple[str, ...] = ("seq",)) -> DataFrame:
     """seq and entity of every sighting, as if they arrived one after another.
 
     A sighting joins the oldest entity that has one of its keys, and hands it all its keys;
     without one it founds an entity, named by its first key. Existing entities are never
-    unified. Components are independent, so each is replayed in one task in order of seq;
-    keys without a second sighting never come here.
+    unified. Components are independent, so each is replayed in one task in order of the columns
+    ``arrival``, nulls last; seq tells sightings apart and breaks ties that these columns leave.
+    Keys without a second sighting never come here.
     """
-    placed = linked(sightings).select("seq", "keys", "component")
+    order = [*dict.fromkeys((*arrival, "seq"))]
+    placed = linked(sightings.select("keys", *order)).select("keys", "component", *order)
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
     alone = placed.join(sizes.where("n = 1"), "component", "left_semi")
     crowd = placed.join(sizes.where("n > 1"), "component", "left_semi")
@@ -107,7 +109,7 @@ def replay(sightings: DataFrame) -> DataFrame:
         owner: dict[str, int] = {}
         names: list[str] = []
         out = []
-        for seq, own in pdf.sort_values("seq")[["seq", "keys"]].itertuples(index=False):
+        for seq, own in pdf.sort_values(order)[["seq", "keys"]].itertuples(index=False):
             known = [owner[k] for k in own if k in owner]
             if known:
                 e = min(known)

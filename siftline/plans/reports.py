@@ -300,7 +300,7 @@ def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq and keys of every lead, in order of arrival; seq is a hash of the lead."""
+    """seq, arrival (ts) and keys of every lead; seq is a hash of the lead and tells nothing of its arrival."""
     return lead_keys(spark, sf_dir).select(F.xxhash64("hash_id").alias("seq"), "hash_id", "ts", "keys")
 
 
@@ -313,8 +313,7 @@ def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("entity_replay")
 def entity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities as sightings found or join them one after another."""
-    rows = sightings(spark, sf_dir).select(F.col("seq"), "keys")
-    return entity.replay(rows)
+    return entity.replay(sightings(spark, sf_dir), ("ts", "hash_id"))
 
 
 @REG.query("link_suggestions", r"""

@@ -229,3 +229,39 @@ def test_link_suggestions_all_takes_every_chat(spark, tmp_path):
     spark.createDataFrame(rows, "user_id bigint, source_chat string, outreach_fit string").write.parquet(f"{tmp_path}/telegram_person_doc.parquet")
     assert {tuple(r) for r in plans.link_suggestions_all(spark, str(tmp_path)).collect()} == {(1, 2, 1), (3, 4, 1)}
     assert {tuple(r) for r in plans.link_suggestions(spark, str(tmp_path)).collect()} == {(3, 4, 1)}
+
+
+def test_replay_goes_by_arrival_not_by_seq(spark):
+    import hashlib
+
+    random.seed(4)
+    rows = [(i, [f"k{random.randrange(25)}" for _ in range(random.randrange(0, 3))]) for i in range(60)]
+    rows = [(i, list(dict.fromkeys(k))) for i, k in rows]
+    seq = random.sample(range(1_000), 60)
+    now = dt.datetime(2026, 5, 1)
+    df = spark.createDataFrame([(seq[i], now + dt.timedelta(hours=i // 2), f"h{i:02}", k) for i, k in rows], "seq bigint, ts timestamp, hash_id string, keys array<string>")
+    got = {r.seq: r.entity for r in entity.replay(df, ("ts", "hash_id")).collect()}
+    # a lead without keys is named by its seq
+    names = {i: f"seq:{seq[i]}" if n == f"seq:{i}" else n for i, n in brute_replay(rows).items()}
+    assert got == {seq[i]: hashlib.sha256(n.encode()).hexdigest()[:32] for i, n in names.items()}
+
+
+def test_entity_replay_of_leads_by_time(spark, tmp_path):
+    import hashlib
+
+    from siftline.plans import reports as plans
+
+    # the lead in the middle has keys of both others and joins the one that came first, whatever the hashes
+    leads = [f"lead{i}" for i in range(12)]
+    rows = []
+    for g in range(0, 12, 3):
+        for k, (hour, contacts) in enumerate([(5, [("email", f"a{g}@x.example")]), (1, [("telegram", f"b{g}")]), (9, [("email", f"a{g}@x.example"), ("telegram", f"b{g}")])]):
+            rows.append((leads[g + k], dt.datetime(2026, 5, 1, hour), contacts, None))
+    spark.createDataFrame(rows, f"hash_id string, ts timestamp_ntz, contacts {CONTACTS}, company_name string").write.parquet(f"{tmp_path}/lead_doc.parquet")
+    name = {r.seq: r.hash_id for r in plans.sightings(spark, str(tmp_path)).select("seq", "hash_id").collect()}
+    got = {name[r.seq]: r.entity for r in plans.entity_replay(spark, str(tmp_path)).collect()}
+    idof = lambda k: hashlib.sha256(k.encode()).hexdigest()[:32]
+    want = {}
+    for g in range(0, 12, 3):
+        want |= {leads[g]: idof(f"email:a{g}@x.example"), leads[g + 1]: idof(f"telegram:b{g}"), leads[g + 2]: idof(f"telegram:b{g}")}
+    assert got == want
