@@ -9,7 +9,8 @@ records are weighed into one score, which a logistic curve, fitted on a bounded
 that share a user name or address exactly, turns into a confidence.
 
 A pair is a match if user name or e-mail are the same, or if at least two of user name, name,
-company and e-mail agree, each within the radius. Defined cases: null and empty attributes
+company and e-mail agree, each within the radius, a company also if it is one edit away on
+either side. Defined cases: null and empty attributes
 agree with nothing; records that occur twice under a key count once with all their attributes;
 an attribute shared by many records matches all of them, none is cut off.
 """
@@ -119,6 +120,38 @@ def close_values(left: DataFrame, right: DataFrame, radius: int = RADIUS, dice:
     return met.join(a, "id_a").join(b, "id_b").where((apart <= radius) & (total - apart >= dice * total)).select("value_a", "value_b", ((total - apart) / total).alias("dice"))
 
 
+def twice_edited(a: Column, b: Column) -> Column:
+    """Whether two edits at most lie between two words of seven letters or more, a swap being one.
+
+    A swap counts two in the edit distance and leaves the letters as they are, so what goes
+    beyond two edits must be made up by letters that both words have. Shorter words are too
+    alike for it.
+    """
+    apart = F.levenshtein(a, b)
+    inside = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    letters = F.levenshtein(inside(a), inside(b))
+    return (F.least(F.length(a), F.length(b)) >= 7) & ((apart <= 2) | ((apart == 3) & (letters <= 2)) | ((apart == 4) & (letters == 0)))
+
+
+def agreeing_firms(candidates: DataFrame, firms: DataFrame, said: DataFrame) -> DataFrame:
+    """person, lead and dice of the companies that are named in the bio, for candidate pairs only.
+
+    candidates: person, lead; firms: lead, value_b; said: person, value_a. Every company of a
+    candidate is compared with every word of the bio: within the radius and of enough
+    similarity, or one edit away on either side.
+    """
+    met = candidates.join(firms.distinct(), "lead").join(said.where(F.length("value_a") >= 4).distinct(), "person")
+    pairs = stored(met.select("person", "lead", "value_a", "value_b"), "firms")
+    values = pairs.select("value_a", "value_b").distinct()
+    # the places of the set bits: what two vectors share is what their lists share
+    bits = [F.array_distinct(vector(F.col(c))[0]) for c in ("value_a", "value_b")]
+    seen = values.withColumn("x", bits[0]).withColumn("y", bits[1])
+    total, both = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
+    near = (total - 2 * both <= RADIUS) & (2 * both >= DICE * total)
+    agree = seen.where(near | twice_edited(F.col("value_a"), F.col("value_b"))).select("value_a", "value_b", (2 * both / total).alias("dice"))
+    return pairs.join(agree, ["value_a", "value_b"]).select("person", "lead", "dice")
+
+
 def people(persons: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Handles, addresses and words of the bio of every person; persons: id, username, bio."""
     handles = persons.select("id", handle(F.col("username")).alias("value")).where("value is not null").distinct()
@@ -173,10 +206,8 @@ def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
         near = near.join(a.select(F.col("id").alias("person"), "value_a", F.col("value").alias("x")), "value_a").join(b.select(F.col("id").alias("lead"), "value_b", F.col("value").alias("y")), "value_b")
         return near.select("person", "lead", F.lit(name).alias("field"), "dice", (F.col("x") == F.col("y")).alias("same"))
 
-    # names and companies are both sought among the words of the bio, in one index
     surname = stored(surnames(names_l), "surnames")
-    wanted = surname.select("value").unionByName(firms_l.select("value"))
-    close = stored(close_values(words_p.where(F.length("value") >= 4).select("value"), wanted), "close")
+    close = stored(close_values(words_p.where(F.length("value") >= 4).select("value"), surname.select("value")), "close")
     said = words_p.select(F.col("id").alias("person"), "pos", F.col("value").alias("value_a"))
     # a name needs its other part beside it: in full on both sides, or an initial on either
     met = close.join(surname.select(F.col("id").alias("lead"), F.col("value").alias("value_b"), "at", "t"), "value_b").join(said, "value_a")
@@ -188,8 +219,7 @@ def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
     other = stored(field("username", handles_p, handles_l).unionByName(field("email", mails_p, mails_l)).unionByName(name), "agree")
     # a company alone is no evidence, and is shared by many: it is compared only where something else agrees
     candidates = other.select("person", "lead").distinct()
-    firm = candidates.join(firms_l.select(F.col("id").alias("lead"), F.col("value").alias("value_b")).distinct(), "lead").join(close, "value_b")
-    firm = firm.join(said.select("person", "value_a").distinct(), ["person", "value_a"])
+    firm = agreeing_firms(candidates, firms_l.select(F.col("id").alias("lead"), F.col("value").alias("value_b")), said.select("person", "value_a"))
     return other.unionByName(firm.select("person", "lead", F.lit("company").alias("field"), "dice", F.lit(False).alias("same")))
 
 

@@ -55,3 +55,13 @@ def test_evidence(spark):
     assert set(got) == {(1, "same_handle"), (2, "name_and_company"), (3, "same_mail"), (5, "near_handle_and_name"), (1, "cyrillic")}
     assert all(0 <= r.confidence <= 1 for r in got.values()) and got[(1, "same_handle")].confidence >= 0.95
     assert linkage.matches(persons.limit(0), leads).count() == 0
+
+
+def test_company_edited_on_both_sides(spark):
+    firms = [("Britavoorent", "Britvaorent"), ("Takinedeli", "Takintedli"), ("Kancoamyx", "Kanoccamyx"), ("Rkiadorund", "Rikadrund"), ("Lemjaspularo", "Lejaspluaro"), ("Plutronevroa", "Plutrnoevora")]
+    apart = [("Brijaslei", "Brijasaro"), ("Tedshagriova", "Tedbriova"), ("Solo", "Sloo ads")]
+    names = ["Petra Kadorvelski", "Mira Vordriens", "Hanna Wendalvelens", "Viktor Kinstoko", "Olga Brenkhauser", "Tomas Ulrichsen", "Irina Zapolsdorf", "Pavel Gormundsen", "Jonas Feldkirchner"]
+    persons = spark.createDataFrame([(i, None, f"{n} / buyer at {f[0]}") for i, (n, f) in enumerate(zip(names, firms + apart))], "id bigint, username string, bio string")
+    leads = spark.createDataFrame([(f"lead{i}", [], n, f[1]) for i, (n, f) in enumerate(zip(names, firms + apart))], f"id string, contacts {CONTACTS}, display string, company string")
+    got = {(r.person, r.lead): r.fields for r in linkage.matches(persons, leads).collect()}
+    assert got == {(i, f"lead{i}"): ["company", "name"] for i in range(len(firms))}
