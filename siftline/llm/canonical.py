@@ -76,9 +76,11 @@ class Mapping:
             if set(table.values()) & set(table):
                 raise ValueError("a look-alike maps to another look-alike")
         keys = "".join(regex.escape(k, special_only=True) for k in sorted(self.single))
+        # circled letters are symbols by category: a key is an emoji only if it may be one and a selector says so
+        styled = rf"(?![{keys}](?!(?<=\p{{Emoji}})\uFE0F))"
         # longest first: an emoji sequence, a letter with its loose marks, then single keys
         self.machine = regex.compile(
-            rf"(?P<emoji>[\p{{So}}\p{{Sk}}\p{{Emoji_Presentation}}][︎️\U0001F3FB-\U0001F3FF]*(?:‍[\p{{So}}\p{{Emoji_Presentation}}][︎️\U0001F3FB-\U0001F3FF]*)*|[0-9#*]️?⃣)"
+            rf"(?P<emoji>{styled}[\p{{So}}\p{{Sk}}\p{{Emoji_Presentation}}][︎️\U0001F3FB-\U0001F3FF]*(?:‍[\p{{So}}\p{{Emoji_Presentation}}][︎️\U0001F3FB-\U0001F3FF]*)*|[0-9#*]️?⃣)"
             rf"|(?P<cluster>[^\p{{M}}\s](?:[​-‍⁠﻿­]*\p{{Mn}})+)"
             rf"|(?P<single>[{keys}]+)"
         )

@@ -223,3 +223,20 @@ def test_stuffed_pages(spark):
     rows += [(900, "best shoes online, cheap shoes online, " * 15, "en"), (901, "https://a.example/x1 shoes\n" * 20, "fr"), (902, None, "en"), (903, "", "de"), (904, rows[0][1] + " #shoes #online #cheap", "en")]
     got = {r.doc_id for r in stuffing.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert got == {900, 901}
+
+
+def test_every_key_of_the_mapping_is_brought_to_its_form():
+    from siftline.llm.canonical import mapping
+
+    m = mapping()
+    assert {k: m.rewrite(k) for k in m.single} == {k: (v, 1) for k, v in m.single.items()}
+    assert m.rewrite("ⒽⒺⓁⓁⓄ ⓦⓞⓡⓛⓓ ① \U0001d400 \uff21") == ("HELLO world 1 A A", 5)
+    # a selector makes an emoji of a key that may be one; other emoji stay
+    assert m.rewrite("Ⓜ\ufe0f ㊗\ufe0f ✅ \U0001f469\u200d\U0001f4bb ☎\ufe0f") == ("Ⓜ\ufe0f ㊗\ufe0f ✅ \U0001f469\u200d\U0001f4bb ☎\ufe0f", 0)
+
+
+def test_a_text_of_circled_letters_is_a_case(spark):
+    from siftline.llm.canonical import canonical
+
+    df = spark.createDataFrame([(1, "ⓑⓤⓨ now"), (2, "buy now")], "id int, t string")
+    assert {r.id: r.canonical for r in canonical(df, "t").collect()} == {1: "buy now", 2: "buy now"}
