@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import host, squeezed, unescaped, visible
+from siftline.session import stored
 
 EMAIL = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
 HANDLE = r"(?:^|[^A-Za-z0-9_@/.+-])@([A-Za-z][A-Za-z0-9_]{4,31})"
@@ -119,20 +120,31 @@ def page_text(html: Column) -> Column:
     )
 
 
+#: Levels of a document that one stored step unfolds.
+LEVELS = 12
+
+
 def json_leaves(df: DataFrame, column: str, key: str) -> DataFrame:
     """key and leaf: every string leaf of a JSON document, however deep; broken JSON has none.
 
-    Read as a variant and unfolded level by level in the JVM; an empty level ends it.
+    Read as a variant and unfolded level by level in the JVM, ``LEVELS`` at a time; what lies deeper
+    is stored with the leaves and unfolded in turn until nothing is left.
     """
     level = df.select(key, F.try_parse_json(F.col(column)).alias("v")).where("v is not null")
     out = None
-    for _ in range(12):
-        level = level.select(key, F.schema_of_variant("v").alias("_kind"), "v")
-        leaves = level.where(F.col("_kind") == "STRING").select(key, F.try_variant_get("v", "$", "string").alias("leaf"))
+    while True:
+        found = None
+        for _ in range(LEVELS):
+            level = level.select(key, F.schema_of_variant("v").alias("_kind"), "v")
+            leaves = level.where(F.col("_kind") == "STRING").select(key, F.try_variant_get("v", "$", "string").alias("leaf"))
+            found = leaves if found is None else found.unionByName(leaves)
+            deeper = level.where(F.col("_kind").startswith("OBJECT") | F.col("_kind").startswith("ARRAY"))
+            level = deeper.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("value").alias("_w"))).select(key, F.col("_w").alias("v"))
+        both = stored(found.unionByName(level, allowMissingColumns=True), "leaves")
+        leaves, level = both.where("leaf is not null").select(key, "leaf"), both.where("v is not null").select(key, "v")
         out = leaves if out is None else out.unionByName(leaves)
-        deeper = level.where(F.col("_kind").startswith("OBJECT") | F.col("_kind").startswith("ARRAY"))
-        level = deeper.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("value").alias("_w"))).select(key, F.col("_w").alias("v"))
-    return out
+        if level.isEmpty():
+            return out
 
 
 def forum_posts(html: Column) -> Column:

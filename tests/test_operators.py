@@ -265,3 +265,11 @@ def test_entity_replay_of_leads_by_time(spark, tmp_path):
     for g in range(0, 12, 3):
         want |= {leads[g]: idof(f"email:a{g}@x.example"), leads[g + 1]: idof(f"telegram:b{g}"), leads[g + 2]: idof(f"telegram:b{g}")}
     assert got == want
+
+
+def test_json_leaves_of_a_deep_document(spark):
+    deep = lambda n: '{"a": [' * (n // 2) + f'"at {n}"' + "]}" * (n // 2)
+    rows = [(n, deep(n)) for n in (2, 10, 12, 14, 22, 24, 26, 40)] + [(1, '{"a": ["x", {"b": [[[[[[[[[[[["deep", null, 3, ""]]]]]]]]]]]]}]}')]
+    df = spark.createDataFrame(rows, "id int, j string")
+    want = [(n, f"at {n}") for n, _ in rows[:-1]] + [(1, "x"), (1, "deep"), (1, "")]
+    assert sorted(tuple(r) for r in extract.json_leaves(df, "j", "id").collect()) == sorted(want)
