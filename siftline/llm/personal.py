@@ -73,17 +73,18 @@ _ADDRESS = regex.compile(
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 # What a text must hold for one of the forms above to occur in it; cheap to look for.
-_MAYBE_EMAIL = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s+[\w-]+(?:\s+dot\s|\s?[(\[{]\s?dot|\.\w)", re.I)
-_MAYBE_PHONE = re.compile(r"\d(?:[\s().-]{0,2}\d){7}")
+_MAYBE_EMAIL = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s+[\w-]+(?:\s+dot\s|\s?[(\[{]\s?dot|\.[\w-])", re.I)
+_HIDDEN = re.compile(r"[\s(\[{]at[\s)\]}]", re.I)
+_MAYBE_PHONE = re.compile(r"\d(?:[\s()./-]{0,2}\d){7}")
 _MAYBE_ID = re.compile(r"\d{3}(?:-\d\d-|\.\d{3}\.|\d{4}-?[A-Za-z])")
-_JOINED = ("str.", "straße", "strasse", "weg ", "allee ", "platz ", "gasse ", "c/", "б-р", "пр-т")
+_JOINED = ("str.", "straße", "strasse", "weg", "allee", "platz", "gasse", "c/", "б-р", "пр-т")
 _BEYOND = re.compile("[^\\x00-\\x9f\\u00a1-\\u00ac\\u00ae-\\u017f–—‘’“”…]")
 _APART = re.compile(r"[\d_]+")
 _LONG = re.compile(r"\d\S{4,}")
 _NUMBER = re.compile(r"[^\W_]+(?:[./-][^\W_]+){0,4}")
 _LABEL = re.compile(r"([^\W\d_][^\W\d_.]{1,14})[ .:№#°º]{1,3}$")
 _MAYBE_ADDRESS = re.compile(
-    rf"\d[a-z]?,? (?:[\w'’-]+ ){{0,4}}(?:{_BEHIND}|{_FRENCH})|(?:{_BEFORE})[^\d\n]{{2,60}}\d|(?:str\.|straße|strasse|weg|allee|platz|gasse) ?\d", re.I
+    rf"\d(?: ?(?:bis|ter)|[a-z])?,? (?:[\w'’-]+ ){{0,4}}(?:{_BEHIND}|{_FRENCH})|(?:{_BEFORE})[^\d_!?;:()\[\]{{}}<>|/@#=+*\"]+\d|(?:str\.|straße|strasse|weg|allee|platz|gasse) ?\d", re.I
 )
 _CAPITAL = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĲĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽΑ-ΩЀ-Я"
 _CAPITALS = re.compile(rf"(?<![^\W_])(?=([{_CAPITAL}][^\W\d_]{{2,}})( |, | [{_CAPITAL}]\. )([{_CAPITAL}][^\W\d_]{{2,}}))")
@@ -182,8 +183,7 @@ def masked(text: str) -> tuple[str, list[tuple[int, int, str]]]:
         nonlocal text
         text = text[:start] + "\x01" * (end - start) + text[end:]
 
-    hidden = " at " in text or "at)" in text or "at]" in text or " AT " in text or "AT)" in text or "AT]" in text
-    for m in list(_EMAIL.finditer(text)) if ("@" in text or hidden) and _MAYBE_EMAIL.search(text) else ():
+    for m in list(_EMAIL.finditer(text)) if ("@" in text or _HIDDEN.search(text)) and _MAYBE_EMAIL.search(text) else ():
         found.append((m.start(1), m.end(1), "email"))
         blank(m.start(1), m.end(1))
     for sign, form in _MASKS:

@@ -240,3 +240,25 @@ def test_a_text_of_circled_letters_is_a_case(spark):
 
     df = spark.createDataFrame([(1, "ⓑⓤⓨ now"), (2, "buy now")], "id int, t string")
     assert {r.id: r.canonical for r in canonical(df, "t").collect()} == {1: "buy now", 2: "buy now"}
+
+
+def test_no_look_before_a_pattern_is_narrower_than_it():
+    import re
+
+    from siftline.llm import personal as P
+
+    missed = []
+    for sign in ("@", " @ ", " at ", "\tat\n", " AT ", *(f"{a}{b}{w}{b}{c}" for a, c in ("()", "[]", "{}") for b in ("", " ") for w in ("at", "At", "@"))):
+        for dot in (".", " dot ", "(dot)", " [ Dot ] ", "{dot}"):
+            text = f"mail ann.lee{sign}host{dot}example now"
+            missed += [text] if P._EMAIL.search(text) and not P.masked(text)[1] else []
+    model = P.Model(frozenset(), frozenset(), frozenset())
+    kinds = lambda text: {k for _, _, k in P.find(text, model)}
+    for text in ("+49 171 1234567", "0171/1234567", "(0171)/1234 567", "0171.123.4567", "(555) 123-4567", "00 4917112345678"):
+        missed += [text] if P._PHONE.search(f"call {text} now") and "phone" not in kinds(f"call {text} now") else []
+    streets = [f"{n} {w} {b}" for n in ("12", "12b") for w in ("Elm", "Old Elm Tree") for b in P._BEHIND.replace("?", "").replace("\\", "").split("|")]
+    streets += [f"{n} {f} de la Paix" for n in ("12", "12 bis,", "12bis", "12 ter", "12,") for f in P._FRENCH.replace("\\", "").split("|")]
+    streets += [f"{b}{gap}{w}{n}" for b in re.sub(r"\(\?:[^)]*\)\?|[?\\]", "", P._BEFORE).split("|") for gap in ((" ", "") if b[-1] in "./" else (" ",)) for w in ("X", "Xora", "Xoralinda Verabondamente Grandiloquente Maravillosamente") for n in (" 5", ", 5", "\n5")]
+    streets += [f"Linden{e}{n}" for e in ("str.", "straße", "strasse", "weg", "allee", "platz", "gasse") for n in ("5", " 5")]
+    missed += [t for t in streets if P._ADDRESS.search(f"at {t} x") and "address" not in kinds(f"at {t} x")]
+    assert not missed, missed[:20]
