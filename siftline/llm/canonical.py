@@ -58,12 +58,12 @@ class Mapping:
                 self._add(ch, "")
                 continue
             style = unicodedata.decomposition(ch).partition(" ")[0]
-            if style in STYLES:
+            if kind == "Zs":  # the wide space has a style too, and is a space first
+                self._add(ch, " ")
+            elif style in STYLES:
                 plain = unicodedata.normalize("NFKC", ch)
                 if len(plain) == 1 and plain.isalnum():
                     self._add(ch, plain)
-            elif kind == "Zs":
-                self._add(ch, " ")
             elif kind == "Cf" and cp < 0xE0000 and not (0x600 <= cp <= 0x8FF and cp != 0x61C) and not 0x11000 <= cp <= 0x1345F or 0xFE00 <= cp <= 0xFE0F:
                 self._add(ch, "")
         self.latin = self._pairs(CYRILLIC + GREEK + CYRILLIC_SMALL, CYRILLIC_AS_LATIN + GREEK_AS_LATIN + CYRILLIC_SMALL_AS_LATIN)

@@ -262,3 +262,9 @@ def test_no_look_before_a_pattern_is_narrower_than_it():
     streets += [f"Linden{e}{n}" for e in ("str.", "straße", "strasse", "weg", "allee", "platz", "gasse") for n in ("5", " 5")]
     missed += [t for t in streets if P._ADDRESS.search(f"at {t} x") and "address" not in kinds(f"at {t} x")]
     assert not missed, missed[:20]
+
+
+def test_every_space_is_a_plain_one():
+    m = canonical.mapping()
+    for ch in "        　":
+        assert m.rewrite(f"two{ch}words") == ("two words", 1)
