@@ -4,10 +4,12 @@ The mapping is compiled once from Unicode's own data by rule: widths and styles
 compatibility decompositions, accents from canonical composition, spaces and invisible
 characters from the general categories, and look-alike letters from the pairs below. It is
 checked for conflicts while it is compiled: no key has two targets, and no target holds a
-key, so a second pass changes nothing. The compiled form is a longest-match transducer: at
-each position the longest key wins, and the text is rewritten in one left-to-right pass over
-grapheme clusters. Only look-alikes depend on their surroundings: a letter is replaced if
-its word mixes alphabets, and the word takes the alphabet of most of its letters.
+key, so a second pass changes nothing. The compiled form is a longest-match transducer: the
+text is read once from left to right in stretches that no ASCII space or mark interrupts; at
+each position of a stretch the longest key wins. Only look-alikes depend on their surroundings:
+a letter is replaced if its word, which lies in one stretch, mixes alphabets, and the word takes
+the alphabet of most of its letters. Stretches of ASCII are their own form, and the forms of
+others are remembered, so that a text costs little more than its length.
 
 Defined cases: null stays null with zero changes; an empty text stays empty; texts of any
 length are read whole; words wholly in one alphabet, typographic quotes and dashes, composed
@@ -18,6 +20,7 @@ but count as a change, since their word is disguised.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,13 +40,27 @@ GREEK_AS_LATIN = "ABEZHIKMNOPTYXaivopux"
 CYRILLIC_SMALL = "кмнтвг"
 CYRILLIC_SMALL_AS_LATIN = "kmhtbr"
 
+# Small capitals, which have no decomposition, and the letters they show.
+SMALL_CAPITALS = "ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ"
+SMALL_CAPITALS_AS_LATIN = "abcdefghijklmnoprstuvwyz"
+
 #: Decomposition tags that mark a width or a style rather than another character.
-STYLES = ("<wide>", "<narrow>", "<font>", "<circle>")
+STYLES = ("<wide>", "<narrow>", "<font>", "<circle>", "<square>")
+#: First letters A of alphabets in negative circles and squares, which have no decomposition.
+NEGATIVE = (0x1F150, 0x1F170)
+#: Ligatures of Latin letters, by their decomposition.
+LIGATURES = range(0xFB00, 0xFB07)
+#: Blank of the Braille patterns, which shows as a space.
+BRAILLE_BLANK = 0x2800
 #: Fillers that leave no trace on the page, like the format characters; those of Arabic and of
 #: older scripts are signs that show, and stay.
 INVISIBLE_EXTRA = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0)
 
 
+#: Forms of stretches that a worker remembers.
+REMEMBERED = 200_000
+
+
 class Mapping:
     """The compiled, conflict-checked mapping."""
 
@@ -57,6 +74,12 @@ class Mapping:
             if cp in INVISIBLE_EXTRA:
                 self._add(ch, "")
                 continue
+            if cp == BRAILLE_BLANK:
+                self._add(ch, " ")
+                continue
+            if cp in LIGATURES:
+                self._add(ch, unicodedata.normalize("NFKC", ch))
+                continue
             style = unicodedata.decomposition(ch).partition(" ")[0]
             if kind == "Zs":  # the wide space has a style too, and is a space first
                 self._add(ch, " ")
@@ -66,6 +89,12 @@ class Mapping:
                     self._add(ch, plain)
             elif kind == "Cf" and cp < 0xE0000 and not (0x600 <= cp <= 0x8FF and cp != 0x61C) and not 0x11000 <= cp <= 0x1345F or 0xFE00 <= cp <= 0xFE0F:
                 self._add(ch, "")
+        for first in NEGATIVE:
+            for i in range(26):
+                if not regex.fullmatch(r"\p{Emoji}", chr(first + i)):  # A, B, O and P in squares are emoji
+                    self._add(chr(first + i), chr(ord("A") + i))
+        for a, b in zip(SMALL_CAPITALS, SMALL_CAPITALS_AS_LATIN, strict=True):
+            self._add(a, b)
         self.latin = self._pairs(CYRILLIC + GREEK + CYRILLIC_SMALL, CYRILLIC_AS_LATIN + GREEK_AS_LATIN + CYRILLIC_SMALL_AS_LATIN)
         self.cyrillic = self._pairs(CYRILLIC_AS_LATIN + CYRILLIC_SMALL_AS_LATIN, CYRILLIC + CYRILLIC_SMALL)
         self.greek = self._pairs(GREEK_AS_LATIN, GREEK)
@@ -75,6 +104,9 @@ class Mapping:
         for table in (self.latin, self.cyrillic, self.greek):
             if set(table.values()) & set(table):
                 raise ValueError("a look-alike maps to another look-alike")
+        self.known: dict[str, tuple[str, int]] = {}
+        # a stretch may begin with an ASCII sign, which a mark or an enclosing keycap can follow
+        self.stretch = re.compile(r"[!-/:-@\[-`{-~]?[^\x00-/:-@\[-`{-\x7f]+")
         keys = "".join(regex.escape(k, special_only=True) for k in sorted(self.single))
         # circled letters are symbols by category: a key is an emoji only if it may be one and a selector says so
         styled = rf"(?![{keys}](?!(?<=\p{{Emoji}})\uFE0F))"
@@ -102,6 +134,27 @@ class Mapping:
 
     def rewrite(self, text: str) -> tuple[str, int]:
         """The text in its one form and the number of places that were changed."""
+        if text.isascii():
+            return text, 0
+        total = 0
+
+        def look(m: re.Match) -> str:
+            nonlocal total
+            run = m[0]
+            if run.isascii():
+                return run
+            found = self.known.get(run)
+            if found is None:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                found = self.known[run] = self.transduce(run)
+            total += found[1]
+            return found[0]
+
+        return self.stretch.sub(look, text), total
+
+    def transduce(self, text: str) -> tuple[str, int]:
+        """One stretch in its one form and the number of changed places."""
         changes = 0
 
         def step(m: regex.Match) -> str:
@@ -151,7 +204,7 @@ def mapping() -> Mapping:
 
 #: What a text must hold for the mapping to change it; every key of the mapping falls in here.
 SUSPECT = (
-    r"[\p{M}\p{Cf}[\p{Zs}&&[^ ]]͏ᅟᅠ឴឵ㅤ＀-￯℀-⅏①-⓿㈀-㋿ﬠ-﬩\x{1D400}-\x{1D7FF}\x{1EE00}-\x{1EEFF}\x{1F100}-\x{1F2FF}\x{1FBF0}-\x{1FBF9}]"
+    r"[\p{M}\p{Cf}[\p{Zs}&&[^ ]]͏ᅟᅠ឴឵ㅤ＀-￯℀-⅏①-⓿㈀-㋿ﬀ-ﬆﬠ-﬩⠀ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ\x{1D400}-\x{1D7FF}\x{1EE00}-\x{1EEFF}\x{1F100}-\x{1F2FF}\x{1FBF0}-\x{1FBF9}]"
     r"|\p{IsLatin}\p{N}*[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{N}*\p{IsLatin}|\p{IsCyrillic}\p{N}*\p{IsGreek}|\p{IsGreek}\p{N}*\p{IsCyrillic}"
 )
 

@@ -268,3 +268,21 @@ def test_every_space_is_a_plain_one():
     m = canonical.mapping()
     for ch in "        　":
         assert m.rewrite(f"two{ch}words") == ("two words", 1)
+
+
+@pytest.mark.parametrize("text,want", [("ﬁne oﬀer", "fine offer"), ("🄱🄻🅄🄴", "BLUE"), ("🅒🅐🅢🅗", "CASH"), ("ᴘᴜꜱʜ", "push"), ("one⠀two", "one two"), ("≠", "≠"), ("#️⃣ 1️⃣", "#️⃣ 1️⃣"), ("exp​ιr‍ed", "expired")])
+def test_further_styles_and_stretches(text, want):
+    assert canonical.mapping().rewrite(text)[0] == want
+
+
+def test_a_long_text_is_read_in_linear_time():
+    import time
+
+    m, took = canonical.mapping(), []
+    for n in (20_000, 80_000):
+        text = "".join(f"wοrd{i} é " for i in range(n))
+        began = time.process_time()
+        out, changes = m.rewrite(text)
+        took.append(time.process_time() - began)
+        assert changes == n and out.startswith("word0 é word1")
+    assert took[1] < 12 * took[0]
