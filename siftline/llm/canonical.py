@@ -227,10 +227,9 @@ def canonical(df: DataFrame, column: str, into: str = "canonical", changes: str
     Texts that hold no key of the mapping are their own form and never leave the JVM.
     """
     text = F.col(f"`{column}`")
-    hit = suspect(text)
-    plain = df.where(~hit).withColumn(into, text).withColumn(changes, F.lit(0))
-    work = df.where(hit).withColumn("_cn", _rewrite(text)).withColumn(into, F.col("_cn.text")).withColumn(changes, F.col("_cn.changes")).drop("_cn")
-    return plain.unionByName(work)
+    # what is its own form goes to Python as a null
+    work = df.withColumn("_cn", _rewrite(F.when(suspect(text), text)))
+    return work.withColumn(into, F.coalesce("_cn.text", text)).withColumn(changes, F.col("_cn.changes")).drop("_cn")
 
 
 def disguised(df: DataFrame, column: str) -> DataFrame:
