@@ -18,6 +18,7 @@ read in their canonical form.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -74,17 +75,21 @@ _ADDRESS = regex.compile(
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 # What a text must hold for one of the forms above to occur in it; cheap to look for.
 _MAYBE_EMAIL = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s+[\w-]+(?:\s+dot\s|\s?[(\[{]\s?dot|\.[\w-])", re.I)
-_HIDDEN = re.compile(r"[\s(\[{]at[\s)\]}]", re.I)
+_HIDDEN = re.compile(r"[\s(\[{]at[\s)\]}]")
 _MAYBE_PHONE = re.compile(r"\d(?:[\s()./-]{0,2}\d){7}")
 _MAYBE_ID = re.compile(r"\d{3}(?:-\d\d-|\.\d{3}\.|\d{4}-?[A-Za-z])")
 _JOINED = ("str.", "straße", "strasse", "weg", "allee", "platz", "gasse", "c/", "б-р", "пр-т")
 _BEYOND = re.compile("[^\\x00-\\x9f\\u00a1-\\u00ac\\u00ae-\\u017f–—‘’“”…]")
+#: Digits beyond ASCII; what lies above the basic plane is taken for one.
+_OTHER_DIGITS = re.compile("[" + "".join(chr(c) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Nd") + "\U00010000-\U0010ffff]")
 _APART = re.compile(r"[\d_]+")
 _LONG = re.compile(r"\d\S{4,}")
 _NUMBER = re.compile(r"[^\W_]+(?:[./-][^\W_]+){0,4}")
-_LABEL = re.compile(r"([^\W\d_][^\W\d_.]{1,14})[ .:№#°º]{1,3}$")
+_BETWEEN = " .:№#°º"
+_LABEL = re.compile(rf"([^\W\d_][^\W\d_.]{{1,14}})[{_BETWEEN}]{{1,3}}$")
+# For texts in lower case.
 _MAYBE_ADDRESS = re.compile(
-    rf"\d(?: ?(?:bis|ter)|[a-z])?,? (?:[\w'’-]+ ){{0,4}}(?:{_BEHIND}|{_FRENCH})|(?:{_BEFORE})[^\d_!?;:()\[\]{{}}<>|/@#=+*\"]+\d|(?:str\.|straße|strasse|weg|allee|platz|gasse) ?\d", re.I
+    rf"\d(?: ?(?:bis|ter)|[a-z])?,? (?:[\w'’-]+ ){{0,4}}(?:{_BEHIND}|{_FRENCH})|(?<![^\W_])(?:{_BEFORE})[^\d_!?;:()\[\]{{}}<>|/@#=+*\"]+\d|(?:str\.|straße|strasse|weg|allee|platz|gasse) ?\d"
 )
 _CAPITAL = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĲĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽΑ-ΩЀ-Я"
 _CAPITALS = re.compile(rf"(?<![^\W_])(?=([{_CAPITAL}][^\W\d_]{{2,}})( |, | [{_CAPITAL}]\. )([{_CAPITAL}][^\W\d_]{{2,}}))")
@@ -102,8 +107,10 @@ SEED_PARTNERS = 3
 ROUNDS, SCORES = 3, {"name": 0.5, "idnum": 0.25}
 #: Part of an instance's mentions that one partner may make up; more is a fixed phrase.
 ONE_PARTNER = 0.5
-#: Entries that the lexicons may have; the strongest stay. They are the fitted model.
+#: Entries up to which the lexicons are sent to all tasks; larger ones are joined to the texts.
 LEXICON = 50_000
+#: Words that a worker remembers.
+REMEMBERED = 1 << 17
 #: Share of all lower-case words that makes a word a common one; at most its inverse of words pass.
 COMMON = 2e-5
 
@@ -112,7 +119,7 @@ _LEFT = re.compile(r"([^\W\d_]+|[^\s]|\n|^)[ \t]*$")
 _RIGHT = re.compile(r"[ \t]*([^\W\d_]+|[^\s]|\n|$)")
 
 
-@lru_cache(1 << 17)
+@lru_cache(REMEMBERED)
 def folded(word: str) -> str:
     return word.lower().translate(_FOLD).translate(_ONE)
 
@@ -124,6 +131,33 @@ class Model:
     first: frozenset[str] = field(default_factory=frozenset)
     labels: frozenset[str] = field(default_factory=frozenset)
     common: frozenset[str] = field(default_factory=frozenset)
+    #: kind and instance of all entries, where there are too many to send them to all tasks
+    table: DataFrame | None = None
+
+
+#: What a word can be.
+NAME, STREET = 1, 2
+
+
+class Words(dict):
+    """NAME and STREET of words in lower case, as a model knows them."""
+
+    def __init__(self, first: frozenset[str]) -> None:
+        self.first = first
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        f = folded(word)
+        self[word] = what = NAME * (f in self.first) | STREET * (f in _STREET)
+        return what
+
+
+def digits(text: str) -> int:
+    """Digits of a text, or more than any form needs if there are some beyond ASCII."""
+    if not text.isascii() and _OTHER_DIGITS.search(text):
+        return 99
+    return sum(map(text.count, "0123456789"))
 
 
 # What the canonical form can change, in the alphabets of these texts.
@@ -183,7 +217,7 @@ def masked(text: str) -> tuple[str, list[tuple[int, int, str]]]:
         nonlocal text
         text = text[:start] + "\x01" * (end - start) + text[end:]
 
-    for m in list(_EMAIL.finditer(text)) if ("@" in text or _HIDDEN.search(text)) and _MAYBE_EMAIL.search(text) else ():
+    for m in list(_EMAIL.finditer(text)) if ("@" in text or _HIDDEN.search(text.lower())) and _MAYBE_EMAIL.search(text) else ():
         found.append((m.start(1), m.end(1), "email"))
         blank(m.start(1), m.end(1))
     for sign, form in _MASKS:
@@ -201,9 +235,11 @@ def labelled_numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
         start = run.start()
         while start and text[start - 1].isalnum():
             start -= 1
-        m = _NUMBER.match(text, start)
-        label = _LABEL.search(text[max(0, start - 22) : start])
-        if m and label and sum(map(str.isdigit, m[0])) >= 6:
+        if not start or text[start - 1] not in _BETWEEN + "\n":
+            continue
+        label = _LABEL.search(text, max(0, start - 22), start)
+        m = label and _NUMBER.match(text, start)
+        if m and sum(map(str.isdigit, m[0])) >= 6:
             yield start, m.end(), label[1].lower(), m[0]
 
 
@@ -214,8 +250,12 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
     return (left[1].lower() if left and left[1] != "\n" else "^"), (right[1].lower() if right and right[1] != "\n" else "$")
 
 
-def find(text: str, model: Model) -> list[tuple[int, int, str]]:
-    """Spans of personal information in a text, in order, without overlaps."""
+def find(text: str, model: Model, known: Words | None = None) -> list[tuple[int, int, str]]:
+    """Spans of personal information in a text, in order, without overlaps.
+
+    Each pattern runs only over texts that hold as many digits, or a word, as it needs.
+    """
+    known = Words(model.first) if known is None else known
     text, found = masked(text)
 
     def take(start: int, end: int, kind: str) -> None:
@@ -224,21 +264,26 @@ def find(text: str, model: Model) -> list[tuple[int, int, str]]:
         text = text[:start] + "\x01" * (end - start) + text[end:]
 
     low = text.lower()
-    if any(k in low for k in model.labels):
-        for start, end, label, _ in list(labelled_numbers(text)):
-            if label in model.labels:
-                take(start, end, "idnum")
-    for m in list(_SEED_ID.finditer(text)) if _MAYBE_ID.search(text) else ():
-        take(m.start(), m.end(), "idnum")
-    if _MAYBE_PHONE.search(text):
-        for m in list(_PHONE.finditer(text)):
-            if 8 <= sum(ch.isdigit() for ch in m[0]) <= 15:
-                take(m.start(), m.end(), "phone")
-    said = set(_WORD.findall(low.translate(_FLAT)))
-    if (not _STREET.isdisjoint(said) or any(k in low for k in _JOINED)) and _MAYBE_ADDRESS.search(text):
+    held = digits(text)
+    if held >= 6:
+        if any(k in low for k in model.labels):
+            for start, end, label, _ in list(labelled_numbers(text)):
+                if label in model.labels:
+                    take(start, end, "idnum")
+        if held >= 7 and _MAYBE_ID.search(text):
+            for m in list(_SEED_ID.finditer(text)):
+                take(m.start(), m.end(), "idnum")
+        if held >= 8 and _MAYBE_PHONE.search(text):
+            for m in list(_PHONE.finditer(text)):
+                if 8 <= sum(ch.isdigit() for ch in m[0]) <= 15:
+                    take(m.start(), m.end(), "phone")
+    said = 0
+    for what in {known[w] for w in _WORD.findall(low)}:
+        said |= what
+    if held and (said & STREET or any(k in low for k in _JOINED)) and _MAYBE_ADDRESS.search(text.lower()):
         for m in list(_ADDRESS.finditer(text)):
             take(m.start(), m.end(), "address")
-    if model.first.isdisjoint(said) and not has_initial(text):
+    if not said & NAME and not has_initial(text):
         return sorted(found)
     letters = [w[0] for w in _WORD.finditer(text) if len(w[0]) > 2]
     one_case = bool(letters) and (sum(w.islower() for w in letters) > 0.97 * len(letters) or sum(w.isupper() for w in letters) > 0.97 * len(letters))
@@ -280,7 +325,7 @@ def _mentions(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not text:
                 continue
             whole, _ = masked(readable(text))
-            for start, _, label, value in labelled_numbers(whole):
+            for start, _, label, value in labelled_numbers(whole) if digits(whole) >= 6 else ():
                 if label:
                     left = " ".join(whole[max(0, start - 50) : start].lower().split()[:-1][-2:])
                     out.append(("idnum", label, value, left, bool(_SEED_ID.fullmatch(value))))
@@ -301,8 +346,11 @@ def _mentions(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["kind", "instance", "partner", "pattern", "seed"])
 
 
-def bootstrap(texts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model of all texts; texts: text and hints (user names, addresses, display names)."""
+def bootstrap(texts: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Model:
+    """The model of all texts; texts: text and hints (user names, addresses, display names).
+
+    Up to ``lexicon`` entries are brought to the driver; of a larger model the table is kept.
+    """
     mentions = stored(texts.select("text", "hints").where("text is not null").mapInPandas(_mentions, _MENTION), "mentions")
     graph = stored(mentions.groupBy("kind", "instance", "pattern").agg(F.count("*").alias("n")), "graph")
     pairs = mentions.groupBy("kind", "instance", "partner").agg(F.count("*").alias("n"), F.count_if("seed").alias("s"))
@@ -320,49 +368,86 @@ def bootstrap(texts: DataFrame, rounds: int = ROUNDS) -> Model:
         told = graph.join(good.select("kind", "pattern"), ["kind", "pattern"]).groupBy("kind", "instance").agg(F.sum("n").alias("told"), F.count("*").alias("ways"))
         rated = told.join(fit, ["kind", "instance"]).where((F.col("ways") >= 2) & (F.col("told") >= need * F.col("total")))
         known = stored(rated.select("kind", "instance").unionByName(seeds).distinct(), "known")
-    known = known.join(fit, ["kind", "instance"]).withColumn("conf", F.col("partners"))
-    lexicon = known.orderBy(F.desc("conf"), "kind", "instance").limit(LEXICON).collect()
     plain = texts.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).where((F.length("w") >= 2) & (F.col("w") == F.lower("w")))
     counts = stored(plain.groupBy("w").agg(F.count("*").alias("n")), "plain")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    common = counts.where(F.col("n") >= max(5.0, total * COMMON)).select("w").collect()  # at most 1 / COMMON words
-    first = {r["instance"] for r in lexicon if r["kind"] == "name"}
-    return Model(
-        frozenset(first),
-        frozenset(r["instance"] for r in lexicon if r["kind"] == "idnum"),
-        frozenset(r["w"] for r in common if folded(r["w"]) not in first),
-    )
+    common = [r["w"] for r in counts.where(F.col("n") >= max(5.0, total * COMMON)).select("w").collect()]  # at most 1 / COMMON words
+    if known.count() > lexicon:
+        names = known.where("kind = 'name'").select("instance")
+        shown = texts.sparkSession.createDataFrame([(w, folded(w)) for w in common], "w string, instance string").join(names, "instance", "left_semi")
+        first = {r["w"] for r in shown.collect()}  # part of the common words
+        return Model(common=frozenset(w for w in common if w not in first), table=known)
+    held = known.collect()
+    first = {r["instance"] for r in held if r["kind"] == "name"}
+    return Model(frozenset(first), frozenset(r["instance"] for r in held if r["kind"] == "idnum"), frozenset(w for w in common if folded(w) not in first))
 
 
 _SPANS = T.StructType([T.StructField("redacted", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))])
 
 
+def spans(t: str | None, model: Model, known: Words | None = None) -> tuple[str | None, list[str]]:
+    """The redacted form of a text and the kinds of what was replaced."""
+    if t is None:
+        return None, []
+    read = readable(t)
+    parts, at, kinds = [], 0, []
+    for start, end, kind in find(read, model, known):
+        if start < at:
+            continue
+        parts += [read[at:start], f"[{kind.upper()}]"]
+        at = end
+        kinds.append(kind)
+    return ("".join([*parts, read[at:]]), kinds) if kinds else (t, [])
+
+
 def detector(model: Model):
     """A pandas UDF from a text to its redacted form and the kinds of what was replaced."""
+    small = Model(model.first, model.labels, model.common)
 
     @F.pandas_udf(_SPANS)
     def detect(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Words(small.first)
         for s in texts:
-            out = []
-            for t in s:
-                if t is None:
-                    out.append((None, []))
-                    continue
-                read = readable(t)
-                parts, at, kinds = [], 0, []
-                for start, end, kind in find(read, model):
-                    if start < at:
-                        continue
-                    parts += [read[at:start], f"[{kind.upper()}]"]
-                    at = end
-                    kinds.append(kind)
-                out.append(("".join([*parts, read[at:]]), kinds) if kinds else (t, []))
+            yield pd.DataFrame([spans(t, small, known) for t in s], columns=["redacted", "kinds"])
+
+    return detect
+
+
+def detector_of_own(model: Model):
+    """The same with the entries that each text holds beside it."""
+    common = model.common
+
+    @F.pandas_udf(_SPANS)
+    def detect(texts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for s, first, labels in texts:
+            out = [spans(t, Model(frozenset(f if f is not None else ()), frozenset(k if k is not None else ()), common)) for t, f, k in zip(s, first, labels)]
             yield pd.DataFrame(out, columns=["redacted", "kinds"])
 
     return detect
 
 
+def _said(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the lexicons can know of a text: its words as names, words before numbers as labels."""
+    for pdf in rows:
+        out = []
+        for key, text in zip(pdf["_key"], pdf["_text"]):
+            read = readable(text)
+            whole, _ = masked(read)
+            out += [(key, "name", folded(w)) for w in set(_WORD.findall(read.lower()))]
+            out += [(key, "idnum", label) for label in {x[2] for x in labelled_numbers(whole)}]
+        yield pd.DataFrame(out, columns=["_key", "kind", "instance"])
+
+
 def redacted(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """df with ``redacted`` and ``kinds``."""
-    out = df.withColumn("_pi", detector(model)(F.col(f"`{column}`")))
+    text = F.col(f"`{column}`")
+    if model.table is None:
+        out = df.withColumn("_pi", detector(model)(text))
+    else:
+        keyed = df.withColumn("_key", F.sha2(text, 256))
+        said = keyed.where("_key is not null").select("_key", text.alias("_text")).mapInPandas(_said, "_key string, kind string, instance string").distinct()
+        known = said.join(model.table.select("kind", "instance"), ["kind", "instance"], "left_semi")
+        # a text's own words bound both lists
+        own = [F.collect_set(F.when(F.col("kind") == k, F.col("instance"))).alias(f"_{k}") for k in ("name", "idnum")]
+        out = keyed.join(known.groupBy("_key").agg(*own), "_key", "left").withColumn("_pi", detector_of_own(model)(text, F.col("_name"), F.col("_idnum"))).drop("_key", "_name", "_idnum")
     return out.withColumn("redacted", F.col("_pi.redacted")).withColumn("kinds", F.col("_pi.kinds")).drop("_pi")

@@ -286,3 +286,20 @@ def test_a_long_text_is_read_in_linear_time():
         took.append(time.process_time() - began)
         assert changes == n and out.startswith("word0 é word1")
     assert took[1] < 12 * took[0]
+
+
+def test_a_lexicon_too_large_to_send_gives_the_same(spark):
+    first = ["Anna", "Pavel", "Maria"]
+    last = ["Kowalska", "Novatrek", "Silvenar", "Brandolin", "Teravoss", "Miralund"]
+    rows = []
+    for i in range(120):
+        f, s = first[i % 3], last[(i * 7) % 6] + "aeiou"[i % 5]
+        rows.append((i, f"regards, {f} {s} of sales; passport 12{i:03d}{i:03d}9 seen", f"{f}.{s}@x.example".lower() if i % 2 else None))
+    rows += [(900, "the passport 88811122 of anna", None), (901, None, None), (902, "", None), (903, "thanks, PAVEL NOVATREKA", None)] + [(1000 + i, "regards, Anna Kowalskaa of sales", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, text string, hints string")
+    small, large = personal.bootstrap(df), personal.bootstrap(df, lexicon=0)
+    assert small.table is None and large.table is not None and {"anna", "pavel", "maria"} <= small.first and small.common == large.common
+    view = lambda m: sorted((r.id, r.redacted, tuple(r.kinds)) for r in personal.redacted(df, m).collect())
+    got = view(small)
+    assert got == view(large)
+    assert sum("name" in k for _, _, k in got) >= 120
