@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +116,8 @@ REMEMBERED = 1 << 17
 COMMON = 2e-5
 
 
+#: What is no ASCII letter as a space.
+_SPACED = {c: " " for c in range(128) if not chr(c).isalpha()}
 _LEFT = re.compile(r"([^\W\d_]+|[^\s]|\n|^)[ \t]*$")
 _RIGHT = re.compile(r"[ \t]*([^\W\d_]+|[^\s]|\n|$)")
 
@@ -175,13 +178,20 @@ def readable(text: str) -> str:
     return mapping().rewrite(text)[0] if _suspect.search(text) else text
 
 
-def word_pairs(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """start, end, form, and the two words of everything that can be a name.
+def word_pairs(text: str, known: Words) -> Iterator[tuple[int, int, str, str, str]]:
+    """start, end, form, and the two words of what can be a name: a known first name or an initial is in it.
 
     Forms: ab (two words), a,b (turned round), i.b (initial first), a.j (initial last).
     """
     words = list(_WORD.finditer(text))
+    near = set()
     for n, m in enumerate(words):
+        if len(m[0]) == 1 or known[m[0].lower()] & NAME:
+            near.update((n - 2, n - 1, n))
+    for n in sorted(near):
+        if n < 0:
+            continue
+        m = words[n]
         if len(m[0]) == 1:
             if text[m.end() : m.end() + 2] == ". " and n + 1 < len(words) and words[n + 1].start() == m.end() + 2 and m[0].isupper() and len(words[n + 1][0]) > 2:
                 if n == 0 or not (words[n - 1].end() + 1 == m.start() and len(words[n - 1][0]) > 1 and words[n - 1][0][0].isupper()):
@@ -278,17 +288,23 @@ def find(text: str, model: Model, known: Words | None = None) -> list[tuple[int,
                 if 8 <= sum(ch.isdigit() for ch in m[0]) <= 15:
                     take(m.start(), m.end(), "phone")
     said = 0
-    for what in {known[w] for w in _WORD.findall(low)}:
+    for what in {known[w] for w in (low.translate(_SPACED).split() if low.isascii() else _WORD.findall(low))}:
         said |= what
     if held and (said & STREET or any(k in low for k in _JOINED)) and _MAYBE_ADDRESS.search(text.lower()):
         for m in list(_ADDRESS.finditer(text)):
             take(m.start(), m.end(), "address")
     if not said & NAME and not has_initial(text):
         return sorted(found)
-    letters = [w[0] for w in _WORD.finditer(text) if len(w[0]) > 2]
-    one_case = bool(letters) and (sum(w.islower() for w in letters) > 0.97 * len(letters) or sum(w.isupper() for w in letters) > 0.97 * len(letters))
+    case: list[bool] = []
+
+    def one_case() -> bool:
+        if not case:
+            letters = [w for w in _WORD.findall(text) if len(w) > 2]
+            case.append(bool(letters) and (sum(map(str.islower, letters)) > 0.97 * len(letters) or sum(map(str.isupper, letters)) > 0.97 * len(letters)))
+        return case[0]
+
     last = -1
-    for start, end, form, a, b in word_pairs(text):
+    for start, end, form, a, b in word_pairs(text, known):
         if start < last:
             continue
         if is_name(form, a, b, model, one_case):
@@ -297,11 +313,11 @@ def find(text: str, model: Model, known: Words | None = None) -> list[tuple[int,
     return sorted(found)
 
 
-def is_name(form: str, a: str, b: str, model: Model, one_case: bool) -> bool:
+def is_name(form: str, a: str, b: str, model: Model, one_case: Callable[[], bool]) -> bool:
     fa, fb = folded(a), folded(b)
 
     def proper(word: str) -> bool:
-        return (one_case or word[0].isupper() or word.islower() and form == "ab") and word.lower() not in model.common and len(word) > 2
+        return len(word) > 2 and word.lower() not in model.common and (word[0].isupper() or word.islower() and form == "ab" or one_case())
 
     if form == "ab":
         if a[0].islower() != b[0].islower() or "'" in a or "’" in a:
@@ -314,36 +330,37 @@ def is_name(form: str, a: str, b: str, model: Model, one_case: bool) -> bool:
     return fa in model.first and a[0].isupper()
 
 
-_MENTION = "kind string, instance string, partner string, pattern string, seed boolean"
+_MENTION = "kind string, a string, b string, at string, form string, seed boolean"
 
 
-def _mentions(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Instances with the pattern they stand in; those of seed form are marked."""
-    for pdf in rows:
+def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels with their number, and pairs of capitalised words, with what stands around them; those of seed form are marked."""
+    for batch in batches:
         out = []
-        for text, hints in zip(pdf["text"], pdf["hints"]):
+        for text, hints in zip(batch.column("text").to_pylist(), batch.column("hints").to_pylist()):
             if not text:
                 continue
             whole, _ = masked(readable(text))
-            for start, _, label, value in labelled_numbers(whole) if digits(whole) >= 6 else ():
-                if label:
-                    left = " ".join(whole[max(0, start - 50) : start].lower().split()[:-1][-2:])
-                    out.append(("idnum", label, value, left, bool(_SEED_ID.fullmatch(value))))
+            for start, _, label, value in labelled_numbers(whole):
+                left = " ".join(whole[max(0, start - 50) : start].lower().split()[:-1][-2:])
+                out.append(("idnum", label, value, left, "", bool(_SEED_ID.fullmatch(value))))
             own = None
             for m in _CAPITALS.finditer(whole):
                 if own is None:
-                    own = {w for w in _WORD.findall(_APART.sub(" ", hints.lower()).translate(_FLAT)) if len(w) > 2} if isinstance(hints, str) else set()
-                a, b = m[1], m[3]
-                fa, fb = folded(a), folded(b)
+                    own = {w for w in _WORD.findall(_APART.sub(" ", hints.lower()).translate(_FLAT)) if len(w) > 2} if hints else set()
+                fa, fb = folded(m[1]), folded(m[3])
                 left, right = context(whole, m.start(1), m.end(3))
-                at = f"{left} _ {right}"
-                seed = fa in own and fb in own and fa != fb
-                if m[2] == ", ":
-                    out.append(("name", fb, fa, f"{at} ,", seed))
-                else:
-                    out.append(("name", fa, fb, at, seed))
-                    out.append(("name", fb, fa, f"{at} /", seed))
-        yield pd.DataFrame(out, columns=["kind", "instance", "partner", "pattern", "seed"])
+                out.append(("name", fa, fb, f"{left} _ {right}", "a,b" if m[2] == ", " else "ab", fa in own and fb in own and fa != fb))
+        columns = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 5 else pa.string()) for i, c in enumerate(columns)], ["kind", "a", "b", "at", "form", "seed"])
+
+
+def both_ways(found: DataFrame) -> DataFrame:
+    """kind, instance, partner, pattern and seed; either word of a pair may be the first name, in a pattern of its own."""
+    as_is = F.struct(F.col("a").alias("instance"), F.col("b").alias("partner"), F.col("at").alias("pattern"))
+    turned = lambda mark: F.struct(F.col("b").alias("instance"), F.col("a").alias("partner"), F.concat("at", F.lit(mark)).alias("pattern"))
+    ways = F.when(F.col("form") == "ab", F.array(as_is, turned(" /"))).when(F.col("form") == "a,b", F.array(turned(" ,"))).otherwise(F.array(as_is))
+    return found.select("kind", "seed", F.explode(ways).alias("m")).select("kind", "m.*", "seed")
 
 
 def bootstrap(texts: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Model:
@@ -351,7 +368,7 @@ def bootstrap(texts: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) ->
 
     Up to ``lexicon`` entries are brought to the driver; of a larger model the table is kept.
     """
-    mentions = stored(texts.select("text", "hints").where("text is not null").mapInPandas(_mentions, _MENTION), "mentions")
+    mentions = both_ways(stored(texts.select("text", "hints").where("text is not null").mapInArrow(_mentions, _MENTION), "mentions"))
     graph = stored(mentions.groupBy("kind", "instance", "pattern").agg(F.count("*").alias("n")), "graph")
     pairs = mentions.groupBy("kind", "instance", "partner").agg(F.count("*").alias("n"), F.count_if("seed").alias("s"))
     spread = pairs.groupBy("kind", "instance").agg(F.count("*").alias("partners"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count_if(F.col("s") > 0).alias("seeds"))
@@ -400,17 +417,18 @@ def spans(t: str | None, model: Model, known: Words | None = None) -> tuple[str
     return ("".join([*parts, read[at:]]), kinds) if kinds else (t, [])
 
 
-def detector(model: Model):
-    """A pandas UDF from a text to its redacted form and the kinds of what was replaced."""
+def detector(model: Model, redact: bool = True):
+    """An Arrow UDF from a text to its redacted form and the kinds of what was replaced, or to the kinds alone."""
     small = Model(model.first, model.labels, model.common)
 
-    @F.pandas_udf(_SPANS)
-    def detect(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def detect(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Words(small.first)
         for s in texts:
-            yield pd.DataFrame([spans(t, small, known) for t in s], columns=["redacted", "kinds"])
+            out = [spans(t, small, known) for t in s.to_pylist()]
+            kinds = pa.array([k for _, k in out], pa.list_(pa.string()))
+            yield pa.StructArray.from_arrays([pa.array([r for r, _ in out], pa.string()), kinds], ["redacted", "kinds"]) if redact else kinds
 
-    return detect
+    return F.arrow_udf(detect, _SPANS if redact else T.ArrayType(T.StringType()))
 
 
 def detector_of_own(model: Model):
@@ -438,6 +456,13 @@ def _said(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["_key", "kind", "instance"])
 
 
+def kinds(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
+    """df with ``kinds``; the redacted texts are not sent back from Python."""
+    if model.table is not None:
+        return redacted(df, model, column).drop("redacted")
+    return df.withColumn("kinds", detector(model, redact=False)(F.col(f"`{column}`")))
+
+
 def redacted(df: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """df with ``redacted`` and ``kinds``."""
     text = F.col(f"`{column}`")

@@ -24,7 +24,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts(spark, sf_dir)
-    out = P.redacted(rows, P.bootstrap(rows))
+    out = P.kinds(rows, P.bootstrap(rows))
     return out.select("tbl", "rec_key", F.explode("kinds").alias("kind")).distinct()
 
 
