@@ -12,6 +12,10 @@ EMAIL = (
 )
 
 
+#: The same for Python's re, which knows letters and digits by what they are not; it is faster than regex.
+EMAIL_RE = EMAIL.replace(r"[\p{L}\p{N}._%+-]", r"[\w.%+-]").replace(r"[\p{L}\p{N}-]", r"(?:[^\W_]|-)").replace(r"[\p{L}\p{N}]", r"[^\W_]").replace(r"\p{L}{2,}", r"[^\W\d_]{2,}")
+
+
 def plain(address: Column) -> Column:
     """An address in lower case with its sign and dots written plainly."""
     signed = F.regexp_replace(F.lower(address), r"\s?@\s?|\s?[\(\[\{]\s?(?:at|@)\s?[\)\]\}]\s?|\s+at\s+", "@")

@@ -36,7 +36,7 @@ from siftline.session import stored
 
 KINDS = ("email", "idnum", "phone", "address", "name")
 
-_EMAIL = regex.compile(addresses.EMAIL, regex.I)
+_EMAIL = re.compile(addresses.EMAIL_RE, re.I)
 #: What is no name, by the sign it holds: links, handles, parameters, tags, joined words.
 _MASKS = (
     ("://", re.compile(r"https?://\S+", re.I)),
