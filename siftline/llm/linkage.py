@@ -1,35 +1,46 @@
 """Matching entities across sources without keys.
 
-Attributes of both sides are brought to one spelling and their bigrams encoded as fixed
-512-bit vectors. Vectors within ``RADIUS`` bits of each other are found exactly by multi-index
-hashing: of eight words at least four are equal if no more than four bits differ, and two of
-them lie in the same of three groups, so the seven pairs inside the groups serve as keys. Every distinct value is indexed once, however many records hold it.
+Attributes of both sides are brought to one spelling and their bigrams encoded as fixed bit
+vectors of 512 bits. Two vectors are close if either has at most ``MISSES`` set bits that the
+other lacks. Such pairs are found exactly by multi-index hashing over set bits: of the
+``MISSES`` + ``SHARED`` rarest bits of either vector ``SHARED`` at least are set in both, so every
+choice of so many of them is a key. Every distinct value of an attribute is indexed once, however many records
+hold it, and all attributes share one index.
 Close pairs are scored by the Dice coefficient of their vectors, and the fields of a pair of
 records are weighed into one score, which a logistic curve, fitted on a bounded sample of pairs
 that share a user name or address exactly, turns into a confidence.
 
 A pair is a match if user name or e-mail are the same, or if at least two of user name, name,
-company and e-mail agree, each within the radius, a company also if it is one edit away on
-either side. Defined cases: null and empty attributes
-agree with nothing; records that occur twice under a key count once with all their attributes;
-an attribute shared by many records matches all of them, none is cut off.
+company and e-mail agree, each within ``RADIUS`` bits; a company also if it is one edit away on either side,
+a user name also if it is the same but for the number at its end. Defined cases: null and empty attributes agree with nothing; records that occur twice
+under a key count once with all their attributes; an attribute shared by many records matches
+all of them, none is cut off.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from functools import reduce
+from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.llm.addresses import emails
-from siftline.session import stored
-
-#: Bits that may differ, and the words of the vector. A change, loss, gain or swap of letters
-#: alters four bits at most, since the letters of a bigram are unordered.
-RADIUS, WORDS = 4, 8
-#: Groups of words; of any four words two lie in the same group, so its pairs serve as keys.
-GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+from siftline.session import small_enough, stored
+
+#: Bits of the vector.
+BITS = 512
+#: Set bits that either of two close vectors may have alone. An edit changes two at most on
+#: either side, since the letters of a bigram are unordered.
+MISSES = 2
+#: Set bits that make a key; more make it rarer, and the keys of a vector more.
+SHARED = 3
+#: Bits that may differ between agreeing values of any length: one change, loss, gain or swap.
+RADIUS = 4
 #: Least Dice coefficient of agreeing values.
 DICE = 0.68
 #: Weights of the fields in the score.
@@ -70,54 +81,87 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
-def vector(value: Column) -> list[Column]:
-    """The words of the bit vector of a value's bigrams, each taken without order."""
-    padded = F.concat(F.lit("^"), value, F.lit("$"))
+def stem(value: Column) -> Column:
+    """A user name without the number at its end; null where fewer than five letters are left."""
+    out = F.regexp_replace(value, r"[0-9]+$", "")
+    return F.when(F.length(out) >= 5, out)
+
+
+_VECTOR = T.StructType([T.StructField("bits", T.ArrayType(T.IntegerType())), T.StructField("fold", T.LongType())])
 
-    def place(i: Column) -> Column:
-        x, y = F.substr(padded, i, F.lit(1)), F.substr(padded, i + 1, F.lit(1))
-        return F.pmod(F.xxhash64(F.least(x, y), F.greatest(x, y)), F.lit(64 * WORDS)).cast("int")
 
-    places = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), place)
-    one = F.lit(1).cast("long")
+def bigrams(value: str) -> frozenset[str]:
+    """Bigrams of a value between its ends, each taken without order."""
+    padded = f"^{value}$"
+    return frozenset(x + y if x < y else y + x for x, y in zip(padded, padded[1:]))
 
-    def word(k: int) -> Column:
-        return F.aggregate("places", F.lit(0).cast("long"), lambda a, p: F.when(F.floor(p / 64) == k, a.bitwiseOR(F.call_function("shiftleft", one, F.pmod(p, F.lit(64))))).otherwise(a))
 
-    return [places, *[word(k) for k in range(WORDS)]]
+@F.arrow_udf(_VECTOR)
+def vector(values: pa.Array) -> pa.Array:
+    """The set bits of the vectors of values, and the vectors folded to 64 bits by parity."""
+    place: dict[str, int] = {}
+    bits, folds = [], []
+    for value in values.to_pylist():
+        own, fold = set(), 0
+        for b in bigrams(value):
+            at = place.get(b)
+            if at is None:
+                at = place[b] = zlib.crc32(b.encode()) % BITS
+            own.add(at)
+        for at in own:
+            fold ^= 1 << (at & 63)
+        bits.append(list(own))
+        folds.append(fold - (1 << 64) if fold >> 63 else fold)
+    return pa.StructArray.from_arrays([pa.array(bits, pa.list_(pa.int32())), pa.array(folds, pa.int64())], ["bits", "fold"])
 
 
 def encoded(values: DataFrame) -> DataFrame:
-    """Stored distinct values with their vectors, set bits and folded vector; values: value."""
-    rows = values.where("value is not null and length(value) >= 3").distinct()
-    places, *words = vector(F.col("value"))
-    v = rows.withColumn("places", places).select(F.xxhash64("value").alias("id"), "value", *[w.alias(f"v{k}") for k, w in enumerate(words)])
-    fold = F.col("v0")
-    for k in range(1, WORDS):
-        fold = fold.bitwiseXOR(F.col(f"v{k}"))
-    return stored(v.withColumn("ones", sum(F.bit_count(f"v{k}") for k in range(WORDS))).withColumn("fold", fold.bitwiseXOR(F.shiftrightunsigned(fold, 32)).bitwiseAND(0x7FFFFFFF).cast("int")), "vectors")
+    """Stored id, field, value, side flags, set bits with the rarest first, and a folded vector.
+
+    values: field, value, left and right, rows may repeat. Bits are numbered by how many values
+    have them, a table of ``BITS`` rows; the numbering has no influence on the result.
+    """
+    rows = values.where("value is not null and value <> ''").groupBy("field", "value").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    v = stored(rows.withColumn("v", vector("value")).select("field", "value", "left", "right", "v.bits", "v.fold"), "values")
+    held = {r["bit"]: r["n"] for r in v.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count("*").alias("n")).collect()}  # BITS rows at most
+    order = sorted(range(BITS), key=lambda b: (held.get(b, 0), b))
+    number = [0] * BITS
+    for n, b in enumerate(order):
+        number[b] = n
+    table = F.array(*[F.lit(n) for n in number])
+    ranked = F.array_sort(F.transform("bits", lambda b: F.get(table, b)))
+    return stored(v.withColumn("bits", ranked).withColumn("id", F.xxhash64("field", "value")), "vectors")
 
 
 def _keys(v: DataFrame, side: str) -> DataFrame:
-    """One row for each pair of words of a vector: narrow, as these rows are many."""
-    pairs = F.array(*[F.xxhash64(F.lit(i * WORDS + j), F.col(f"v{i}"), F.col(f"v{j}")) for g in GROUPS for i in g for j in g if i < j])
-    return v.select(F.explode(pairs).alias("key"), F.col("id").alias(f"id_{side}"), F.col("fold").alias(f"fold_{side}"))
+    """One row for every choice of the rarest bits of a vector: narrow, as these rows are many.
+
+    A vector with fewer bits than that takes has its single bits as keys, and so has every
+    vector that can be close to such a one; close vectors that agree share one at least.
+    """
+    least = MISSES + SHARED
+    choices = F.array(*[F.xxhash64("field", *[F.get("bits", F.lit(i)) for i in c]) for c in combinations(range(least), SHARED)])
+    single = F.transform("bits", lambda b: F.xxhash64("field", b))
+    n = F.size("bits")
+    keys = F.when(n >= least + MISSES, choices).when(n >= least, F.concat(choices, single)).otherwise(single)
+    return v.select(F.explode(keys).alias("key"), F.col("id").alias(f"id_{side}"), F.col("fold").alias(f"fold_{side}"))
 
 
-def close_values(left: DataFrame, right: DataFrame, radius: int = RADIUS, dice: float = DICE) -> DataFrame:
-    """value_a, value_b and dice of all pairs within the radius and of enough similarity.
+def close_values(values: DataFrame) -> DataFrame:
+    """field, value_a, value_b and dice of all agreeing pairs of a left and a right value.
 
-    Every pair within the radius shares a key. The folded vectors differ in no more bits than the whole ones.
+    Every close pair shares a key; folded vectors differ in no more bits than the whole ones.
     """
-    if not 0 <= radius <= WORDS - 4:
-        raise ValueError("four equal words are sure only up to a radius of four bits")
-    va, vb = encoded(left), encoded(right)
-    met = _keys(va, "a").join(_keys(vb, "b"), "key").where(F.bit_count(F.col("fold_a").bitwiseXOR(F.col("fold_b"))) <= radius).select("id_a", "id_b").distinct()
-    a = va.select(*[F.col(c).alias(f"{c}_a") for c in va.columns])
-    b = vb.select(*[F.col(c).alias(f"{c}_b") for c in vb.columns])
-    apart = sum(F.bit_count(F.col(f"v{k}_a").bitwiseXOR(F.col(f"v{k}_b"))) for k in range(WORDS))
-    total = F.col("ones_a") + F.col("ones_b")
-    return met.join(a, "id_a").join(b, "id_b").where((apart <= radius) & (total - apart >= dice * total)).select("value_a", "value_b", ((total - apart) / total).alias("dice"))
+    v = encoded(values)
+    met = _keys(v.where("left"), "a").join(_keys(v.where("right"), "b"), "key").where((F.bit_count(F.col("fold_a").bitwiseXOR(F.col("fold_b"))) <= RADIUS) & (F.col("id_a") != F.col("id_b"))).select("id_a", "id_b").distinct()
+    a = v.select(F.col("id").alias("id_a"), "field", F.col("value").alias("value_a"), F.col("bits").alias("x"))
+    b = v.select(F.col("id").alias("id_b"), F.col("value").alias("value_b"), F.col("bits").alias("y"))
+    both, n, m = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
+    seen = met.join(a, "id_a").join(b, "id_b").withColumn("both", both).where((n - F.col("both") <= MISSES) & (m - F.col("both") <= MISSES))
+    dice = 2 * F.col("both") / (n + m)
+    near = (n + m - 2 * F.col("both") <= RADIUS) & (dice >= DICE)
+    same = v.where("left and right").select("field", F.col("value").alias("value_a"), F.col("value").alias("value_b"), F.lit(1.0).alias("dice"))
+    return seen.where(near).select("field", "value_a", "value_b", dice.alias("dice")).unionByName(same)
 
 
 def twice_edited(a: Column, b: Column) -> Column:
@@ -133,94 +177,125 @@ def twice_edited(a: Column, b: Column) -> Column:
     return (F.least(F.length(a), F.length(b)) >= 7) & ((apart <= 2) | ((apart == 3) & (letters <= 2)) | ((apart == 4) & (letters == 0)))
 
 
-def agreeing_firms(candidates: DataFrame, firms: DataFrame, said: DataFrame) -> DataFrame:
+@F.arrow_udf(T.DoubleType())
+def _dice(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Dice of the bigrams of two words where they are within the radius, else null."""
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist()):
+        p, q = bigrams(x), bigrams(y)
+        both, total = len(p & q), len(p) + len(q)
+        out.append(2 * both / total if total - 2 * both <= RADIUS and 2 * both >= DICE * total else None)
+    return pa.array(out, pa.float64())
+
+
+def agreeing_firms(candidates: DataFrame, firms: DataFrame, bios: DataFrame) -> DataFrame:
     """person, lead and dice of the companies that are named in the bio, for candidate pairs only.
 
-    candidates: person, lead; firms: lead, value_b; said: person, value_a. Every company of a
+    candidates: person, lead; firms: lead, value_b; bios: person, t. Every company of a
     candidate is compared with every word of the bio: within the radius and of enough
     similarity, or one edit away on either side.
     """
-    met = candidates.join(firms.distinct(), "lead").join(said.where(F.length("value_a") >= 4).distinct(), "person")
-    pairs = stored(met.select("person", "lead", "value_a", "value_b"), "firms")
-    values = pairs.select("value_a", "value_b").distinct()
-    # the places of the set bits: what two vectors share is what their lists share
-    bits = [F.array_distinct(vector(F.col(c))[0]) for c in ("value_a", "value_b")]
-    seen = values.withColumn("x", bits[0]).withColumn("y", bits[1])
-    total, both = F.size("x") + F.size("y"), F.size(F.array_intersect("x", "y"))
-    near = (total - 2 * both <= RADIUS) & (2 * both >= DICE * total)
-    agree = seen.where(near | twice_edited(F.col("value_a"), F.col("value_b"))).select("value_a", "value_b", (2 * both / total).alias("dice"))
-    return pairs.join(agree, ["value_a", "value_b"]).select("person", "lead", "dice")
-
-
-def people(persons: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Handles, addresses and words of the bio of every person; persons: id, username, bio."""
-    handles = persons.select("id", handle(F.col("username")).alias("value")).where("value is not null").distinct()
-    bare = persons.where("bio is not null")
-    mails = bare.select("id", F.explode(emails(F.col("bio"))).alias("value")).distinct()
+    met = candidates.join(firms.distinct(), "lead").join(bios, "person")
+    alike = lambda x: F.abs(F.length(x) - F.length("value_b")) <= RADIUS + 2
+    pairs = met.select("person", "lead", "value_b", F.explode(F.filter(F.array_distinct("t"), lambda x: (F.length(x) >= 3) & alike(x))).alias("value_a")).withColumn("dice", _dice("value_a", "value_b"))
+    loose = F.lit(2.0) * (F.length("value_a") + 1 - F.levenshtein("value_a", "value_b")) / (F.length("value_a") + F.length("value_b") + 2)
+    return pairs.where(F.col("dice").isNotNull() | twice_edited(F.col("value_a"), F.col("value_b"))).select("person", "lead", F.coalesce("dice", F.greatest(loose, F.lit(0.5))).alias("dice"))
+
+
+def people(persons: DataFrame) -> DataFrame:
+    """Stored person, handle, addresses and words of the bio, in one pass; persons: id, username, bio."""
     # what follows an address or link is no name
     prose = F.regexp_replace(F.regexp_replace("bio", r"\S*(?:@|://)\S+|\S+\s*[(\[]\s*at\s*[)\]]\s*\S+", " "), r"[_\d]+", " ")
-    words = bare.select("id", F.posexplode(tokens(prose)).alias("pos", "value")).distinct()
-    return handles, mails, words
+    return stored(persons.select(F.col("id").alias("person"), handle(F.col("username")).alias("handle"), emails(F.col("bio")).alias("mails"), tokens(prose).alias("t")), "people")
+
+
+def authors(leads: DataFrame) -> DataFrame:
+    """Stored lead, handles, addresses, words of the name and companies, in one pass; leads: id, contacts, display, company."""
 
+    def said(kind: str) -> Column:
+        return F.transform(F.filter("contacts", lambda c: (F.lower(c["type"]) == kind) & c["value"].isNotNull()), lambda c: c["value"])
 
-def authors(leads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Handles, addresses, names and companies of every lead; leads: id, contacts, display, company."""
-    contact = leads.select("id", F.explode("contacts").alias("c")).select("id", F.lower("c.type").alias("type"), F.col("c.value").alias("v"))
-    handles = contact.where("type = 'telegram'").select("id", handle(F.col("v")).alias("value")).where("value is not null").distinct()
-    mails = contact.where("type = 'email'").select("id", F.explode(emails(F.col("v"))).alias("value")).distinct()
     parts = F.split("display", r"\|")
     own = F.filter(tokens(F.regexp_replace(parts[0], r"[_\d]+", " ")), lambda t: ~t.isin("the"))
-    names = leads.select("id", own.alias("t")).where(F.size("t") >= 2).distinct()
+    generic = [g.translate(str.maketrans("qxyw", "kkiv")) for g in GENERIC]
 
     def core(text: Column) -> Column:
-        return F.try_element_at(F.filter(tokens(F.replace(text, F.lit("."), F.lit(""))), lambda t: ~t.isin(*[g.translate(str.maketrans("qxyw", "kkiv")) for g in GENERIC]) & (F.length(t) >= 4)), F.lit(1))
-
-    firms = leads.select("id", F.explode(F.array(core(F.col("company")), core(F.try_element_at(parts, F.lit(2))))).alias("value")).where("value is not null").distinct()
-    return handles, mails, names, firms
+        own_words = F.filter(tokens(F.replace(text, F.lit("."), F.lit(""))), lambda t: ~t.isin(*generic))
+        # the first word of four letters or more, else the longest there is
+        return F.coalesce(F.try_element_at(F.filter(own_words, lambda t: F.length(t) >= 4), F.lit(1)), F.try_element_at(F.filter(own_words, lambda t: F.length(t) >= 3), F.lit(1)))
+
+    return stored(
+        leads.select(
+            F.col("id").alias("lead"),
+            F.filter(F.transform(said("telegram"), handle), lambda v: v.isNotNull()).alias("handles"),
+            F.flatten(F.transform(said("email"), emails)).alias("mails"),
+            own.alias("t"),
+            F.array_compact(F.array(core(F.col("company")), core(F.try_element_at(parts, F.lit(2))))).alias("firms"),
+        ),
+        "authors",
+    )
 
 
 def surnames(names: DataFrame) -> DataFrame:
-    """id, at, value and t: of every name the word that the fewest names have, then the longest.
+    """lead, value_b and rest: of every name the word that the fewest names have, then the longest, and its other words.
 
     First names are shared by many; sought by them, a name would meet all their bearers.
     """
-    every = names.select("id", F.posexplode("t").alias("at", "value"), "t").where(F.length("value") >= 3)
+    most = F.lit(1023)
+    every = names.where(F.size("t") >= 2).select("lead", "t", F.posexplode("t").alias("at", "value")).where(F.length("value") >= 2)
     common = every.groupBy("value").agg(F.count("*").alias("bearers"))
-    rated = every.join(common, "value")
-    chosen = rated.groupBy("id", "t").agg(F.min_by(F.struct("at", "value"), F.struct("bearers", -F.length("value"), "at")).alias("s"))
-    return chosen.select("id", "s.at", "s.value", "t")
+    if small_enough(common.count(), 64):
+        common = F.broadcast(common)
+    # bearers, shortness and place in one number, so that the least is found in hash aggregates
+    rank = (F.col("bearers") * 1024 + most - F.least(F.length("value"), most)) * 1024 + F.least("at", most)
+    chosen = every.join(common, "value").groupBy("lead", "t").agg(F.pmod(F.min(rank), F.lit(1024)).cast("int").alias("at"))
+    return chosen.select("lead", F.get("t", F.col("at")).alias("value_b"), F.filter("t", lambda x, i: i != F.col("at")).alias("rest"))
 
 
 def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
     """person, lead, field, dice and whether the values are the same, for every two agreeing values."""
-    handles_p, mails_p, words_p = (stored(x, "person") for x in people(persons))
-    handles_l, mails_l, names_l, firms_l = (stored(x, "lead") for x in authors(leads))
-
-    def plain(df: DataFrame) -> DataFrame:
-        return df.select(bare(F.col("value")).alias("value"))
-
-    def field(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.withColumn("value_a", bare(F.col("value")))
-        b = right.withColumn("value_b", bare(F.col("value")))
-        near = close_values(plain(left), plain(right))
-        near = near.join(a.select(F.col("id").alias("person"), "value_a", F.col("value").alias("x")), "value_a").join(b.select(F.col("id").alias("lead"), "value_b", F.col("value").alias("y")), "value_b")
-        return near.select("person", "lead", F.lit(name).alias("field"), "dice", (F.col("x") == F.col("y")).alias("same"))
-
-    surname = stored(surnames(names_l), "surnames")
-    close = stored(close_values(words_p.where(F.length("value") >= 4).select("value"), surname.select("value")), "close")
-    said = words_p.select(F.col("id").alias("person"), "pos", F.col("value").alias("value_a"))
+    left, right = people(persons), authors(leads)
+    surname = stored(surnames(right), "surnames")
+    # a word of the bio with the two words on either side of it
+    said = left.select("person", F.posexplode("t").alias("pos", "value"), "t").where(F.length("value") >= 2)
+    begin = F.greatest(F.col("pos") - 1, F.lit(1))
+    beside = F.concat(F.slice("t", begin, F.col("pos") + 1 - begin), F.slice("t", F.col("pos") + 2, F.lit(2)))
+    said = said.select("person", F.col("value").alias("value_a"), beside.alias("beside"))
+    parts = [
+        ("username", left.where("handle is not null").select("person", F.col("handle").alias("x")), right.select("lead", F.explode("handles").alias("y"))),
+        ("email", left.select("person", F.explode("mails").alias("x")), right.select("lead", F.explode("mails").alias("y"))),
+    ]
+    values = []
+    for name, a, b in parts:
+        values += [a.select(F.lit(name).alias("field"), bare(F.col("x")).alias("value"), F.lit(True).alias("left"), F.lit(False).alias("right"))]
+        values += [b.select(F.lit(name).alias("field"), bare(F.col("y")).alias("value"), F.lit(False).alias("left"), F.lit(True).alias("right"))]
+    firms = right.select("lead", F.explode("firms").alias("value_b")).distinct()
+    words = surname.select("value_b").unionByName(firms.select("value_b"))
+    values += [said.select(F.lit("word").alias("field"), F.col("value_a").alias("value"), F.lit(True).alias("left"), F.lit(False).alias("right"))]
+    values += [words.select(F.lit("word").alias("field"), F.col("value_b").alias("value"), F.lit(False).alias("left"), F.lit(True).alias("right"))]
+    close = stored(close_values(reduce(DataFrame.unionByName, values)), "close")
+    word = close.where("field = 'word'").drop("field")
+
+    def field(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
+        near = close.where(F.col("field") == name).join(a.withColumn("value_a", bare(F.col("x"))), "value_a").join(b.withColumn("value_b", bare(F.col("y"))), "value_b")
+        return near.select("person", "lead", "field", "dice", (F.col("x") == F.col("y")).alias("same"))
+
     # a name needs its other part beside it: in full on both sides, or an initial on either
-    met = close.join(surname.select(F.col("id").alias("lead"), F.col("value").alias("value_b"), "at", "t"), "value_b").join(said, "value_a")
-    beside = words_p.select(F.col("id").alias("person"), F.col("pos").alias("near"), F.col("value").alias("other"))
-    both = met.join(beside, "person").where((F.abs(F.col("near") - F.col("pos")) <= 2) & (F.col("near") != F.col("pos")))
-    rest = F.filter("t", lambda x, i: i != F.col("at"))
-    agree = F.exists(rest, lambda x: F.when((F.length(x) == 1) | (F.length("other") == 1), F.substr(x, F.lit(1), F.lit(1)) == F.substr("other", F.lit(1), F.lit(1))).otherwise(F.levenshtein(x, F.col("other")) <= F.when(F.length(x) >= 5, 2).otherwise(1)))
-    name = both.where(agree).select("person", "lead", F.lit("name").alias("field"), "dice", F.lit(False).alias("same"))
-    other = stored(field("username", handles_p, handles_l).unionByName(field("email", mails_p, mails_l)).unionByName(name), "agree")
-    # a company alone is no evidence, and is shared by many: it is compared only where something else agrees
+    met = word.join(surname, "value_b").join(said, "value_a")
+    alike = lambda x, y: F.when((F.length(x) == 1) | (F.length(y) == 1), F.substr(x, F.lit(1), F.lit(1)) == F.substr(y, F.lit(1), F.lit(1))).otherwise(F.levenshtein(x, y) <= F.when(F.length(x) >= 5, 2).otherwise(1))
+    name = met.where(F.exists("rest", lambda x: F.exists("beside", lambda y: alike(x, y)))).select("person", "lead", F.lit("name").alias("field"), "dice", F.lit(False).alias("same"))
+    # user names that differ in their number, like companies, are shared by many: both together make a candidate
+    stems_a = left.select("person", stem(bare(F.col("handle"))).alias("stem")).where("stem is not null")
+    stems_b = right.select("lead", F.explode(F.array_compact(F.transform("handles", lambda h: stem(bare(h))))).alias("stem"))
+    of_firm = said.where(F.length("value_a") >= 3).select("person", "value_a").distinct().join(word, "value_a").join(firms.select("value_b").distinct(), "value_b", "left_semi").join(stems_a, "person").select("person", "stem", "value_b")
+    both_weak = of_firm.join(firms.join(stems_b, "lead"), ["stem", "value_b"]).select("person", "lead", F.lit("stem").alias("field"), F.lit(0.8).alias("dice"), F.lit(False).alias("same"))
+    other = stored(field(*parts[0]).unionByName(field(*parts[1])).unionByName(name).unionByName(both_weak), "agree")
+    # a company or a user name but for its number alone is no evidence: they are compared where something else agrees
     candidates = other.select("person", "lead").distinct()
-    firm = agreeing_firms(candidates, firms_l.select(F.col("id").alias("lead"), F.col("value").alias("value_b")), said.select("person", "value_a"))
-    return other.unionByName(firm.select("person", "lead", F.lit("company").alias("field"), "dice", F.lit(False).alias("same")))
+    firm = agreeing_firms(candidates, firms, left.select("person", "t"))
+    numbered = candidates.join(stems_a, "person").join(stems_b, ["lead", "stem"])
+    more = firm.select("person", "lead", F.lit("company").alias("field"), "dice").unionByName(numbered.select("person", "lead", F.lit("username").alias("field"), F.lit(0.8).alias("dice")))
+    return other.where("field <> 'stem'").unionByName(more.withColumn("same", F.lit(False)))
 
 
 def curve(pairs: DataFrame) -> tuple[float, float]:
@@ -229,8 +304,8 @@ def curve(pairs: DataFrame) -> tuple[float, float]:
     Pairs that share user name or address exactly are true, and are scored by what else agrees;
     of those that agree in one attribute only, hardly any is.
     """
-    known = pairs.where("(sure and score > 0) or (not sure and size(fields) = 1)").select("score", F.col("sure").cast("int").alias("y"))
-    rows = known.orderBy(F.xxhash64("score", "y"), "score", "y").limit(FIT_PAIRS).collect()
+    known = pairs.where("(sure and score > 0) or (not sure and size(fields) = 1)").select("person", "lead", "score", F.col("sure").cast("int").alias("y"))
+    rows = known.orderBy(F.xxhash64("person", "lead"), "person", "lead").limit(FIT_PAIRS).collect()
     a, b = -4.0, 6.0
     if len({r["y"] for r in rows}) < 2:
         return a, b

@@ -10,33 +10,49 @@ def edits(word, rng):
     return rng.choice([word[:i] + word[i + 1 :], word[:i] + rng.choice("abcdefgh") + word[i:], word[:i] + word[i + 1] + word[i] + word[i + 2 :] if i + 1 < len(word) else word, word[:i] + "z" + word[i + 1 :]])
 
 
+def sides(spark, left, right, field="word"):
+    rows = [(field, v, True, False) for v in left] + [(field, v, False, True) for v in right]
+    return spark.createDataFrame(rows, "field string, value string, left boolean, right boolean")
+
+
 def test_close_values_are_found_exactly(spark):
     rng = random.Random(7)
     left = ["".join(rng.choices("abcdefghiklmnoprst", k=rng.randrange(6, 13))) for _ in range(150)]
     right = left[:40] + [edits(w, rng) for w in left[40:120]] + ["".join(rng.choices("abcdefghiklmnoprst", k=9)) for _ in range(60)]
-    a, b = (spark.createDataFrame([(v,) for v in x + [None, "ab"]], "value string") for x in (left, right))
-    vectors = {r.value: r for x in (a, b) for r in linkage.encoded(x).collect()}
-    word = lambda r: [r[f"v{k}"] for k in range(linkage.WORDS)]
+    short = ["".join(rng.choices("abc", k=k)) for k in (1, 2, 3, 4, 5, 6, 7) for _ in range(12)]  # vectors with fewer bits than a key takes
+    left, right = left + short[::2] + [None, ""], right + short[1::2] + short[:9] + [None, ""]
+    vectors = {r.value: set(r.bits) for r in linkage.encoded(sides(spark, left, right)).collect()}
     want = set()
-    for x in set(left):
-        for y in set(right):
+    for x in set(left) - {None, ""}:
+        for y in set(right) - {None, ""}:
             p, q = vectors[x], vectors[y]
-            apart = sum(((i ^ j) & (2**64 - 1)).bit_count() for i, j in zip(word(p), word(q)))
-            if apart <= linkage.RADIUS and p.ones + q.ones - apart >= linkage.DICE * (p.ones + q.ones):
+            near = len(p - q) <= linkage.MISSES and len(q - p) <= linkage.MISSES and len(p ^ q) <= linkage.RADIUS
+            if x == y or near and 2 * len(p & q) >= linkage.DICE * (len(p) + len(q)):
                 want.add((x, y))
-    assert {(r.value_a, r.value_b) for r in linkage.close_values(a, b).collect()} == want
+    got = [(r.value_a, r.value_b) for r in linkage.close_values(sides(spark, left, right)).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_fields_do_not_meet(spark):
+    a = sides(spark, ["kowalska"], [], "username").unionByName(sides(spark, [], ["kowalska"], "word"))
+    assert linkage.close_values(a).count() == 0 and linkage.close_values(a.limit(0)).count() == 0
 
 
 def test_one_edit_is_within_the_radius(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefghiklmnoprst", k=11)) for _ in range(60)]
     pairs = [(w, edits(w, rng)) for w in words]
-    a = spark.createDataFrame([(x,) for x, _ in pairs], "value string")
-    b = spark.createDataFrame([(y,) for _, y in pairs], "value string")
-    found = {(r.value_a, r.value_b) for r in linkage.close_values(a, b).collect()}
+    found = {(r.value_a, r.value_b) for r in linkage.close_values(sides(spark, [x for x, _ in pairs], [y for _, y in pairs])).collect()}
     assert sum(p in found for p in pairs) >= 58  # two bits may fall together by chance
 
 
+def test_user_names_that_differ_in_their_number(spark):
+    persons = spark.createDataFrame([(1, "foxfayost97", "Irene Lemjasmann"), (2, "foxfayost97", "Otto Brandvik, at Velquora Ads"), (3, "foxfayost97", "someone else"), (4, "fox97", "Irene Lemjasmann")], "id bigint, username string, bio string")
+    leads = spark.createDataFrame([("name", [("telegram", "@foxfayost3004")], "Irene Lemjasmann", None), ("company", [("telegram", "@foxfayost11")], None, "Velquora Ads"), ("neither", [("telegram", "@foxfayost5")], None, None)], f"id string, contacts {CONTACTS}, display string, company string")
+    got = {(r.person, r.lead): r.fields for r in linkage.matches(persons, leads).collect()}
+    assert got == {(1, "name"): ["name", "username"], (2, "company"): ["company", "username"]}
+
+
 def test_evidence(spark):
     persons = spark.createDataFrame(
         [
