@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -43,6 +43,8 @@ SHARED = 3
 RADIUS = 4
 #: Least Dice coefficient of agreeing values.
 DICE = 0.68
+#: Dice that counts for user names that differ in their number only.
+NUMBERED = 0.8
 #: Weights of the fields in the score.
 WEIGHTS = {"username": 1.0, "email": 1.2, "name": 0.9, "company": 0.7}
 #: Pairs that the confidence curve is fitted on, at most.
@@ -164,53 +166,63 @@ def close_values(values: DataFrame) -> DataFrame:
     return seen.where(near).select("field", "value_a", "value_b", dice.alias("dice")).unionByName(same)
 
 
-def twice_edited(a: Column, b: Column) -> Column:
-    """Whether two edits at most lie between two words of seven letters or more, a swap being one.
+def edits(a: str, b: str) -> int:
+    """Changes, losses, gains and swaps of neighbours between two words."""
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                cost = min(cost, above[j - 2] + 1)
+            row.append(cost)
+    return row[-1]
 
-    A swap counts two in the edit distance and leaves the letters as they are, so what goes
-    beyond two edits must be made up by letters that both words have. Shorter words are too
-    alike for it.
+
+@lru_cache(1 << 17)
+def _bigrams(word: str) -> frozenset[str]:
+    return bigrams(word)
+
+
+def same_firm(firm: str, word: str) -> float:
+    """Dice of the bigrams where a word is a company: within the radius, or two edits away from seven letters on; else 0.
+
+    An edit on either side changes four bigrams at most; shorter words are too alike for two.
     """
-    apart = F.levenshtein(a, b)
-    inside = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    letters = F.levenshtein(inside(a), inside(b))
-    return (F.least(F.length(a), F.length(b)) >= 7) & ((apart <= 2) | ((apart == 3) & (letters <= 2)) | ((apart == 4) & (letters == 0)))
+    p, q = _bigrams(firm), _bigrams(word)
+    both, total = len(p & q), len(p) + len(q)
+    dice = 2 * both / total
+    if total - 2 * both <= RADIUS and dice >= DICE:
+        return dice
+    if total - 2 * both > 4 * MISSES or min(len(firm), len(word)) < 7 or edits(firm, word) > 2:
+        return 0.0
+    return max(dice, 0.5)
 
 
 @F.arrow_udf(T.DoubleType())
-def _dice(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Dice of the bigrams of two words where they are within the radius, else null."""
+def firm_dice(firms: pa.Array, words: pa.Array) -> pa.Array:
+    """The highest Dice of a company of the lead and a word of the bio that agree, null if none do."""
     out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        p, q = bigrams(x), bigrams(y)
-        both, total = len(p & q), len(p) + len(q)
-        out.append(2 * both / total if total - 2 * both <= RADIUS and 2 * both >= DICE * total else None)
+    for f, t in zip(firms.to_pylist(), words.to_pylist()):
+        best = 0.0
+        for firm in f or ():
+            for word in set(t or ()):
+                if len(word) >= 3 and abs(len(word) - len(firm)) <= RADIUS:
+                    best = max(best, same_firm(firm, word))
+        out.append(best or None)
     return pa.array(out, pa.float64())
 
 
-def agreeing_firms(candidates: DataFrame, firms: DataFrame, bios: DataFrame) -> DataFrame:
-    """person, lead and dice of the companies that are named in the bio, for candidate pairs only.
-
-    candidates: person, lead; firms: lead, value_b; bios: person, t. Every company of a
-    candidate is compared with every word of the bio: within the radius and of enough
-    similarity, or one edit away on either side.
-    """
-    met = candidates.join(firms.distinct(), "lead").join(bios, "person")
-    alike = lambda x: F.abs(F.length(x) - F.length("value_b")) <= RADIUS + 2
-    pairs = met.select("person", "lead", "value_b", F.explode(F.filter(F.array_distinct("t"), lambda x: (F.length(x) >= 3) & alike(x))).alias("value_a")).withColumn("dice", _dice("value_a", "value_b"))
-    loose = F.lit(2.0) * (F.length("value_a") + 1 - F.levenshtein("value_a", "value_b")) / (F.length("value_a") + F.length("value_b") + 2)
-    return pairs.where(F.col("dice").isNotNull() | twice_edited(F.col("value_a"), F.col("value_b"))).select("person", "lead", F.coalesce("dice", F.greatest(loose, F.lit(0.5))).alias("dice"))
-
-
 def people(persons: DataFrame) -> DataFrame:
-    """Stored person, handle, addresses and words of the bio, in one pass; persons: id, username, bio."""
+    """Stored person, handle, addresses, words of the bio and stem of the handle, in one pass; persons: id, username, bio."""
     # what follows an address or link is no name
     prose = F.regexp_replace(F.regexp_replace("bio", r"\S*(?:@|://)\S+|\S+\s*[(\[]\s*at\s*[)\]]\s*\S+", " "), r"[_\d]+", " ")
-    return stored(persons.select(F.col("id").alias("person"), handle(F.col("username")).alias("handle"), emails(F.col("bio")).alias("mails"), tokens(prose).alias("t")), "people")
+    out = persons.select(F.col("id").alias("person"), handle(F.col("username")).alias("handle"), emails(F.col("bio")).alias("mails"), tokens(prose).alias("t"))
+    return stored(out.withColumn("stem", stem(bare(F.col("handle")))), "people")
 
 
 def authors(leads: DataFrame) -> DataFrame:
-    """Stored lead, handles, addresses, words of the name and companies, in one pass; leads: id, contacts, display, company."""
+    """Stored lead, handles, addresses, words of the name, companies and stems of the handles, in one pass; leads: id, contacts, display, company."""
 
     def said(kind: str) -> Column:
         return F.transform(F.filter("contacts", lambda c: (F.lower(c["type"]) == kind) & c["value"].isNotNull()), lambda c: c["value"])
@@ -224,16 +236,14 @@ def authors(leads: DataFrame) -> DataFrame:
         # the first word of four letters or more, else the longest there is
         return F.coalesce(F.try_element_at(F.filter(own_words, lambda t: F.length(t) >= 4), F.lit(1)), F.try_element_at(F.filter(own_words, lambda t: F.length(t) >= 3), F.lit(1)))
 
-    return stored(
-        leads.select(
+    out = leads.select(
             F.col("id").alias("lead"),
             F.filter(F.transform(said("telegram"), handle), lambda v: v.isNotNull()).alias("handles"),
             F.flatten(F.transform(said("email"), emails)).alias("mails"),
             own.alias("t"),
             F.array_compact(F.array(core(F.col("company")), core(F.try_element_at(parts, F.lit(2))))).alias("firms"),
-        ),
-        "authors",
-    )
+        )
+    return stored(out.withColumn("stems", F.array_compact(F.transform("handles", lambda h: stem(bare(h))))), "authors")
 
 
 def surnames(names: DataFrame) -> DataFrame:
@@ -253,49 +263,47 @@ def surnames(names: DataFrame) -> DataFrame:
 
 
 def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
-    """person, lead, field, dice and whether the values are the same, for every two agreeing values."""
+    """person, lead, the dice of each field that agrees, same_username and same_email, for every candidate pair."""
     left, right = people(persons), authors(leads)
     surname = stored(surnames(right), "surnames")
-    # a word of the bio with the two words on either side of it
-    said = left.select("person", F.posexplode("t").alias("pos", "value"), "t").where(F.length("value") >= 2)
+    word = F.length("value") >= 2
+    # of a word the two words on either side of it
     begin = F.greatest(F.col("pos") - 1, F.lit(1))
     beside = F.concat(F.slice("t", begin, F.col("pos") + 1 - begin), F.slice("t", F.col("pos") + 2, F.lit(2)))
-    said = said.select("person", F.col("value").alias("value_a"), beside.alias("beside"))
-    parts = [
-        ("username", left.where("handle is not null").select("person", F.col("handle").alias("x")), right.select("lead", F.explode("handles").alias("y"))),
-        ("email", left.select("person", F.explode("mails").alias("x")), right.select("lead", F.explode("mails").alias("y"))),
-    ]
-    values = []
-    for name, a, b in parts:
-        values += [a.select(F.lit(name).alias("field"), bare(F.col("x")).alias("value"), F.lit(True).alias("left"), F.lit(False).alias("right"))]
-        values += [b.select(F.lit(name).alias("field"), bare(F.col("y")).alias("value"), F.lit(False).alias("left"), F.lit(True).alias("right"))]
-    firms = right.select("lead", F.explode("firms").alias("value_b")).distinct()
-    words = surname.select("value_b").unionByName(firms.select("value_b"))
-    values += [said.select(F.lit("word").alias("field"), F.col("value_a").alias("value"), F.lit(True).alias("left"), F.lit(False).alias("right"))]
-    values += [words.select(F.lit("word").alias("field"), F.col("value_b").alias("value"), F.lit(False).alias("left"), F.lit(True).alias("right"))]
-    close = stored(close_values(reduce(DataFrame.unionByName, values)), "close")
-    word = close.where("field = 'word'").drop("field")
-
-    def field(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
-        near = close.where(F.col("field") == name).join(a.withColumn("value_a", bare(F.col("x"))), "value_a").join(b.withColumn("value_b", bare(F.col("y"))), "value_b")
-        return near.select("person", "lead", "field", "dice", (F.col("x") == F.col("y")).alias("same"))
-
+    none = F.lit(None).cast("array<string>")
+
+    def plain(df: DataFrame, who: str, name: str, column: Column) -> DataFrame:
+        return df.select(who, column.alias("said")).where("said is not null").select(F.lit(name).alias("field"), who, bare(F.col("said")).alias("value"), "said", none.alias("near"))
+
+    said = left.select("person", "stem", F.posexplode("t").alias("pos", "value"), "t").where(word)
+    sides = {
+        "person": [plain(left, "person", "username", F.col("handle")), plain(left, "person", "email", F.explode("mails")), said.select(F.lit("word").alias("field"), "person", "value", F.lit(None).cast("string").alias("said"), beside.alias("near"))],
+        "lead": [plain(right, "lead", "username", F.explode("handles")), plain(right, "lead", "email", F.explode("mails")), surname.select(F.lit("word").alias("field"), "lead", F.col("value_b").alias("value"), F.lit(None).cast("string").alias("said"), F.col("rest").alias("near"))],
+    }
+    a, b = (reduce(DataFrame.unionByName, parts) for parts in sides.values())
+    firms = right.select("lead", "stems", F.explode("firms").alias("value_b"))
+    values = a.select("field", "value", F.lit(True).alias("left"), F.lit(False).alias("right")).unionByName(b.select("field", "value", F.lit(False).alias("left"), F.lit(True).alias("right")))
+    values = values.unionByName(firms.select(F.lit("word").alias("field"), F.col("value_b").alias("value"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+    close = stored(close_values(values), "close")
+    a = a.select("field", "person", F.col("value").alias("value_a"), F.col("said").alias("x"), F.col("near").alias("beside"))
+    b = b.select("field", "lead", F.col("value").alias("value_b"), F.col("said").alias("y"), F.col("near").alias("rest"))
     # a name needs its other part beside it: in full on both sides, or an initial on either
-    met = word.join(surname, "value_b").join(said, "value_a")
     alike = lambda x, y: F.when((F.length(x) == 1) | (F.length(y) == 1), F.substr(x, F.lit(1), F.lit(1)) == F.substr(y, F.lit(1), F.lit(1))).otherwise(F.levenshtein(x, y) <= F.when(F.length(x) >= 5, 2).otherwise(1))
-    name = met.where(F.exists("rest", lambda x: F.exists("beside", lambda y: alike(x, y)))).select("person", "lead", F.lit("name").alias("field"), "dice", F.lit(False).alias("same"))
+    met = close.join(b, ["field", "value_b"]).join(a, ["field", "value_a"])
+    met = met.where((F.col("field") != "word") | F.exists("rest", lambda x: F.exists("beside", lambda y: alike(x, y))))
+    met = met.select("person", "lead", F.when(F.col("field") == "word", "name").otherwise(F.col("field")).alias("field"), "dice", F.coalesce(F.col("x") == F.col("y"), F.lit(False)).alias("same"))
     # user names that differ in their number, like companies, are shared by many: both together make a candidate
-    stems_a = left.select("person", stem(bare(F.col("handle"))).alias("stem")).where("stem is not null")
-    stems_b = right.select("lead", F.explode(F.array_compact(F.transform("handles", lambda h: stem(bare(h))))).alias("stem"))
-    of_firm = said.where(F.length("value_a") >= 3).select("person", "value_a").distinct().join(word, "value_a").join(firms.select("value_b").distinct(), "value_b", "left_semi").join(stems_a, "person").select("person", "stem", "value_b")
-    both_weak = of_firm.join(firms.join(stems_b, "lead"), ["stem", "value_b"]).select("person", "lead", F.lit("stem").alias("field"), F.lit(0.8).alias("dice"), F.lit(False).alias("same"))
-    other = stored(field(*parts[0]).unionByName(field(*parts[1])).unionByName(name).unionByName(both_weak), "agree")
+    of_firm = said.where("stem is not null and length(value) >= 3").select("person", "stem", F.col("value").alias("value_a")).join(close.where("field = 'word'").select("value_a", "value_b"), "value_a")
+    weak = of_firm.join(firms.select("lead", F.explode("stems").alias("stem"), "value_b"), ["stem", "value_b"]).select("person", "lead", F.lit("stem").alias("field"), F.lit(0.0).alias("dice"), F.lit(False).alias("same"))
+    best = {k: F.max(F.when(F.col("field") == k, F.col("dice"))).alias(k) for k in ("username", "email", "name")}
+    sure = {f"same_{k}": F.max((F.col("field") == k) & F.col("same")).alias(f"same_{k}") for k in ("username", "email")}
+    other = stored(met.unionByName(weak).groupBy("person", "lead").agg(*best.values(), *sure.values()), "agree")
     # a company or a user name but for its number alone is no evidence: they are compared where something else agrees
-    candidates = other.select("person", "lead").distinct()
-    firm = agreeing_firms(candidates, firms, left.select("person", "t"))
-    numbered = candidates.join(stems_a, "person").join(stems_b, ["lead", "stem"])
-    more = firm.select("person", "lead", F.lit("company").alias("field"), "dice").unionByName(numbered.select("person", "lead", F.lit("username").alias("field"), F.lit(0.8).alias("dice")))
-    return other.where("field <> 'stem'").unionByName(more.withColumn("same", F.lit(False)))
+    whole = other.join(left.select("person", "t", "stem"), "person").join(right.select("lead", "firms", "stems"), "lead")
+    numbered = F.when(F.array_contains("stems", F.col("stem")), NUMBERED)
+    out = whole.select("person", "lead", F.coalesce("username", numbered).alias("username"), "email", "name", "same_username", "same_email", firm_dice("firms", "t").alias("company"))
+    keys = {k: F.max(k).alias(k) for k in ("username", "email", "name", "company", "same_username", "same_email")}
+    return out.groupBy("person", "lead").agg(*keys.values())  # records that occur twice
 
 
 def curve(pairs: DataFrame) -> tuple[float, float]:
@@ -325,11 +333,8 @@ def curve(pairs: DataFrame) -> tuple[float, float]:
 
 def matches(persons: DataFrame, leads: DataFrame) -> DataFrame:
     """person, lead, fields, score and confidence of all matches."""
-    found = agreements(persons, leads)
-    best = {k: F.max(F.when(F.col("field") == k, F.col("dice"))).alias(k) for k in WEIGHTS}
-    sure = {f"same_{k}": F.max((F.col("field") == k) & F.col("same")).alias(f"same_{k}") for k in ("username", "email")}
-    rows = found.groupBy("person", "lead").agg(*best.values(), *sure.values())
-    scored = [F.when(F.col(k).isNull() | F.col(f"same_{k}") if f"same_{k}" in sure else F.col(k).isNull(), 0.0).otherwise(F.col(k) * w) for k, w in WEIGHTS.items()]
+    rows = agreements(persons, leads)
+    scored = [F.when(F.col(k).isNull() | F.col(f"same_{k}") if k in ("username", "email") else F.col(k).isNull(), 0.0).otherwise(F.col(k) * w) for k, w in WEIGHTS.items()]
     pairs = stored(
         rows.select(
             "person",
