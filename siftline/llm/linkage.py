@@ -118,13 +118,13 @@ def vector(values: pa.Array) -> pa.Array:
 
 
 def encoded(values: DataFrame) -> DataFrame:
-    """Stored id, field, value, side flags, set bits with the rarest first, and a folded vector.
+    """id, field, value, flags, set bits, their numbers with the rarest first, and a folded vector.
 
-    values: field, value, left and right, rows may repeat. Bits are numbered by how many values
+    values: field, value, left, right and firm, rows may repeat. Bits are numbered by how many values
     have them, a table of ``BITS`` rows; the numbering has no influence on the result.
     """
-    rows = values.where("value is not null and value <> ''").groupBy("field", "value").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    v = stored(rows.withColumn("v", vector("value")).select("field", "value", "left", "right", "v.bits", "v.fold"), "values")
+    rows = values.where("value is not null and value <> ''").groupBy("field", "value").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.max("firm").alias("firm"))
+    v = stored(rows.withColumn("v", vector("value")).select(F.xxhash64("field", "value").alias("id"), "field", "value", "left", "right", "firm", "v.bits", "v.fold"), "values")
     held = {r["bit"]: r["n"] for r in v.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count("*").alias("n")).collect()}  # BITS rows at most
     order = sorted(range(BITS), key=lambda b: (held.get(b, 0), b))
     number = [0] * BITS
@@ -132,7 +132,7 @@ def encoded(values: DataFrame) -> DataFrame:
         number[b] = n
     table = F.array(*[F.lit(n) for n in number])
     ranked = F.array_sort(F.transform("bits", lambda b: F.get(table, b)))
-    return stored(v.withColumn("bits", ranked).withColumn("id", F.xxhash64("field", "value")), "vectors")
+    return v.withColumn("rare", ranked)
 
 
 def _keys(v: DataFrame, side: str) -> DataFrame:
@@ -142,28 +142,28 @@ def _keys(v: DataFrame, side: str) -> DataFrame:
     vector that can be close to such a one; close vectors that agree share one at least.
     """
     least = MISSES + SHARED
-    choices = F.array(*[F.xxhash64("field", *[F.get("bits", F.lit(i)) for i in c]) for c in combinations(range(least), SHARED)])
-    single = F.transform("bits", lambda b: F.xxhash64("field", b))
-    n = F.size("bits")
+    choices = F.array(*[F.xxhash64("field", *[F.get("rare", F.lit(i)) for i in c]) for c in combinations(range(least), SHARED)])
+    single = F.transform("rare", lambda b: F.xxhash64("field", b))
+    n = F.size("rare")
     keys = F.when(n >= least + MISSES, choices).when(n >= least, F.concat(choices, single)).otherwise(single)
     return v.select(F.explode(keys).alias("key"), F.col("id").alias(f"id_{side}"), F.col("fold").alias(f"fold_{side}"))
 
 
 def close_values(values: DataFrame) -> DataFrame:
-    """field, value_a, value_b and dice of all agreeing pairs of a left and a right value.
+    """field, value_a, value_b, firm and dice of all agreeing pairs of a left and a right value.
 
     Every close pair shares a key; folded vectors differ in no more bits than the whole ones.
     """
     v = encoded(values)
     met = _keys(v.where("left"), "a").join(_keys(v.where("right"), "b"), "key").where((F.bit_count(F.col("fold_a").bitwiseXOR(F.col("fold_b"))) <= RADIUS) & (F.col("id_a") != F.col("id_b"))).select("id_a", "id_b").distinct()
     a = v.select(F.col("id").alias("id_a"), "field", F.col("value").alias("value_a"), F.col("bits").alias("x"))
-    b = v.select(F.col("id").alias("id_b"), F.col("value").alias("value_b"), F.col("bits").alias("y"))
+    b = v.select(F.col("id").alias("id_b"), F.col("value").alias("value_b"), "firm", F.col("bits").alias("y"))
     both, n, m = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
     seen = met.join(a, "id_a").join(b, "id_b").withColumn("both", both).where((n - F.col("both") <= MISSES) & (m - F.col("both") <= MISSES))
     dice = 2 * F.col("both") / (n + m)
     near = (n + m - 2 * F.col("both") <= RADIUS) & (dice >= DICE)
-    same = v.where("left and right").select("field", F.col("value").alias("value_a"), F.col("value").alias("value_b"), F.lit(1.0).alias("dice"))
-    return seen.where(near).select("field", "value_a", "value_b", dice.alias("dice")).unionByName(same)
+    same = v.where("left and right").select("field", F.col("value").alias("value_a"), F.col("value").alias("value_b"), "firm", F.lit(1.0).alias("dice"))
+    return seen.where(near).select("field", "value_a", "value_b", "firm", dice.alias("dice")).unionByName(same)
 
 
 def edits(a: str, b: str) -> int:
@@ -282,18 +282,19 @@ def agreements(persons: DataFrame, leads: DataFrame) -> DataFrame:
     }
     a, b = (reduce(DataFrame.unionByName, parts) for parts in sides.values())
     firms = right.select("lead", "stems", F.explode("firms").alias("value_b"))
-    values = a.select("field", "value", F.lit(True).alias("left"), F.lit(False).alias("right")).unionByName(b.select("field", "value", F.lit(False).alias("left"), F.lit(True).alias("right")))
-    values = values.unionByName(firms.select(F.lit("word").alias("field"), F.col("value_b").alias("value"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+    flags = lambda *on: [F.lit(k in on).alias(k) for k in ("left", "right", "firm")]
+    values = a.select("field", "value", *flags("left")).unionByName(b.select("field", "value", *flags("right")))
+    values = values.unionByName(firms.select(F.lit("word").alias("field"), F.col("value_b").alias("value"), *flags("right", "firm")))
     close = stored(close_values(values), "close")
     a = a.select("field", "person", F.col("value").alias("value_a"), F.col("said").alias("x"), F.col("near").alias("beside"))
     b = b.select("field", "lead", F.col("value").alias("value_b"), F.col("said").alias("y"), F.col("near").alias("rest"))
     # a name needs its other part beside it: in full on both sides, or an initial on either
     alike = lambda x, y: F.when((F.length(x) == 1) | (F.length(y) == 1), F.substr(x, F.lit(1), F.lit(1)) == F.substr(y, F.lit(1), F.lit(1))).otherwise(F.levenshtein(x, y) <= F.when(F.length(x) >= 5, 2).otherwise(1))
-    met = close.join(b, ["field", "value_b"]).join(a, ["field", "value_a"])
+    met = close.drop("firm").join(b, ["field", "value_b"]).join(a, ["field", "value_a"])
     met = met.where((F.col("field") != "word") | F.exists("rest", lambda x: F.exists("beside", lambda y: alike(x, y))))
     met = met.select("person", "lead", F.when(F.col("field") == "word", "name").otherwise(F.col("field")).alias("field"), "dice", F.coalesce(F.col("x") == F.col("y"), F.lit(False)).alias("same"))
     # user names that differ in their number, like companies, are shared by many: both together make a candidate
-    of_firm = said.where("stem is not null and length(value) >= 3").select("person", "stem", F.col("value").alias("value_a")).join(close.where("field = 'word'").select("value_a", "value_b"), "value_a")
+    of_firm = said.where("stem is not null and length(value) >= 3").select("person", "stem", F.col("value").alias("value_a")).join(close.where("firm").select("value_a", "value_b"), "value_a")
     weak = of_firm.join(firms.select("lead", F.explode("stems").alias("stem"), "value_b"), ["stem", "value_b"]).select("person", "lead", F.lit("stem").alias("field"), F.lit(0.0).alias("dice"), F.lit(False).alias("same"))
     best = {k: F.max(F.when(F.col("field") == k, F.col("dice"))).alias(k) for k in ("username", "email", "name")}
     sure = {f"same_{k}": F.max((F.col("field") == k) & F.col("same")).alias(f"same_{k}") for k in ("username", "email")}

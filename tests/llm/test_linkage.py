@@ -11,8 +11,8 @@ def edits(word, rng):
 
 
 def sides(spark, left, right, field="word"):
-    rows = [(field, v, True, False) for v in left] + [(field, v, False, True) for v in right]
-    return spark.createDataFrame(rows, "field string, value string, left boolean, right boolean")
+    rows = [(field, v, True, False, False) for v in left] + [(field, v, False, True, False) for v in right]
+    return spark.createDataFrame(rows, "field string, value string, left boolean, right boolean, firm boolean")
 
 
 def test_close_values_are_found_exactly(spark):
