@@ -23,7 +23,7 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,8 +59,8 @@ def source_key(source: Column) -> Column:
 
 
 def sized(documents: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """Stored doc_id, source and tokens of every document."""
-    return stored(documents.select("doc_id", source_key(F.col("source")).alias("source"), token_counter(ranks, pattern)(F.col("text")).alias("tokens")), "sizes")
+    """Stored doc_id, source, tokens and a hash of the text of every document."""
+    return stored(documents.select("doc_id", source_key(F.col("source")).alias("source"), token_counter(ranks, pattern)(F.col("text")).alias("tokens"), F.xxhash64("text").alias("content")), "sizes")
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -177,14 +177,25 @@ def sample(rows: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
 
 
 def mix(sizes: DataFrame, planned: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """doc_id, source, tokens and copies of every document that is used at least once."""
-    marked = sizes.join(F.broadcast(planned.select("source", "docs", "passes", "fraction")), "source")
-    rows = stored(marked.withColumn("row", F.monotonically_increasing_id()), "rows")
+    """doc_id, source, tokens and copies of every document that is used at least once.
+
+    Documents are told apart by a hash of their content, equal ones by a number, so that the
+    draw does not depend on how the files lie.
+    """
+    marked = sizes.join(F.broadcast(planned.select("source", "docs", "passes", "fraction")), "source")  # one row for each source
+    same = F.xxhash64(*[F.col(c) for c in sizes.columns])
+    again = F.row_number().over(Window.partitionBy("same").orderBy("same"))
+    rows = stored(marked.withColumn("same", same).withColumn("row", F.xxhash64("same", again)).drop("same"), "rows")
     part = rows.where("fraction > 0").select("row", "source", "tokens", F.col("fraction").alias("pi"), "docs")
     picked = sample(part, block, seed).where("pick = 1").select("row", "pick")
     return rows.join(picked, "row", "left").withColumn("copies", F.col("passes") + F.coalesce("pick", F.lit(0))).where("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
+def short(reported: DataFrame) -> DataFrame:
+    """The sources of a drawn mix that fall short although every document is used as often as allowed."""
+    return reported.where((F.col("used_docs") == F.col("docs") * F.coalesce(F.col("max_repeats"), F.lit(1))) & (F.col("used_tokens") < F.col("wanted"))).select("source")
+
+
 def report(planned: DataFrame, mixed: DataFrame) -> DataFrame:
     """Wanted and actual share, passes and documents of every source."""
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.sum("copies").alias("used_docs"))

@@ -24,8 +24,8 @@ SELECT DISTINCT lower(trim(t.source)) AS source FROM mix_targets t LEFT JOIN s O
 WHERE coalesce(size, 0) * max_repeats < target_share * total
 """)
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, planned = _planned(spark, sf_dir)
-    return planned.where(~F.col("reachable")).select("source")
+    """From the mix as it is drawn: what is short with all its documents used up cannot reach its target."""
+    return M.short(p9_mix(spark, sf_dir))
 
 
 @REG.query("p9_mix")

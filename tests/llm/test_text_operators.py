@@ -303,3 +303,17 @@ def test_a_lexicon_too_large_to_send_gives_the_same(spark):
     got = view(small)
     assert got == view(large)
     assert sum("name" in k for _, _, k in got) >= 120
+
+
+def test_the_mix_does_not_depend_on_the_files(spark):
+    random.seed(8)
+    rows = [(i % 400, ("a", "b")[i % 2], random.randrange(5, 90), i % 7) for i in range(900)] + [(1, "a", 10, 3)] * 6
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 2), ("none", 0.1, 3), ("tiny", 0.0, None)], "source string, target_share double, max_repeats int")
+    drawn = []
+    for part, order in ((1, rows), (7, rows[::-1])):
+        sizes = spark.createDataFrame(order, "doc_id bigint, source string, tokens bigint, content bigint").repartition(part)
+        planned = mixing.plan(sizes, targets)
+        mixed = mixing.mix(sizes, planned, block=40)
+        drawn.append(Counter((r.doc_id, r.source, r.tokens, r.copies) for r in mixed.collect()))
+        assert {r.source for r in mixing.short(mixing.report(planned, mixed)).collect()} == {"none"}
+    assert drawn[0] == drawn[1]
