@@ -35,6 +35,12 @@ SEED = {
     "ru": "Со вчерашнего дня команда не может открыть страницу, и клиенты уже очень устали. Когда мы пришли в офис, никто не знал, почему сервер перестал работать. По их словам, счёт остаётся прежним, хотя сервис стал хуже. Нам нужна помощь, чтобы перенести все данные до понедельника. На этой неделе мы потеряли много денег и ещё время. Но поддержка говорит, что всё хорошо, поэтому мы ищем другое решение для нашей компании. При проверке счетов мы увидели, что не хватает нескольких выплат за этот месяц. Ночью отчёты были удалены без всякого объяснения. Надо ждать до завтра, потому что клиент хочет получить ответ.",
 }
 
+#: Seed prose of other languages in Cyrillic letters: what it fits better is none of the seven.
+OTHERS = {
+    "uk": "Від учора команда не може відкрити сторінку, і клієнти вже дуже втомилися. Коли ми прийшли до офісу, ніхто не знав, чому сервер перестав працювати. За їхніми словами, рахунок залишається таким самим, хоча сервіс став гіршим. Нам потрібна допомога, щоб перенести всі дані до понеділка. Цього тижня ми втратили багато грошей і ще час. Але підтримка каже, що все гаразд, тому ми шукаємо інше рішення для нашої компанії. Під час перевірки рахунків ми побачили, що бракує кількох виплат за цей місяць. Уночі звіти було видалено без жодного пояснення. Треба чекати до завтра, тому що клієнт хоче отримати відповідь.",
+    "bg": "От вчера екипът не може да отвори страницата и клиентите вече са много уморени. Когато дойдохме в офиса, никой не знаеше защо сървърът е спрял да работи. Според тях сметката остава същата, въпреки че услугата е по-лоша. Имаме нужда от помощ, за да преместим всички данни преди понеделник. Тази седмица загубихме много пари и също време. Но поддръжката казва, че всичко е наред, затова търсим друго решение за нашата фирма. При проверката на сметките видяхме, че липсват няколко плащания за този месец. През нощта отчетите бяха изтрити без никакво обяснение. Трябва да се чака до утре, защото клиентът иска отговор.",
+    "sr": "Од јуче тим не може да отвори страницу и клијенти су већ веома уморни. Када смо дошли у канцеларију, нико није знао зашто је сервер престао да ради. По њиховим речима рачун остаје исти, иако је услуга лошија. Треба нам помоћ да преместимо све податке пре понедељка. Ове недеље смо изгубили много новца и још времена. Али подршка каже да је све у реду, зато тражимо друго решење за нашу фирму. При провери рачуна видели смо да недостаје неколико исплата за овај месец. Током ноћи извештаји су обрисани без икаквог објашњења. Мора се чекати до сутра, јер клијент жели одговор.",
+}
 #: Bytes of a dictionary; more makes compression slower and adds little.
 DICTIONARY_BYTES = 24_000
 #: Rows, by order of a hash, that the labelled sentences are taken from.
@@ -43,6 +49,8 @@ SAMPLE_ROWS = 6_000
 MIN_WORDS = 5
 #: Margin from which a part is clearly of one language; longer parts below it may hold two.
 CLEAR = 0.3
+#: Places at which a part is tried to be cut at a time.
+CUTS = 64
 #: Share of the runner-up's size by which the best must be smaller.
 MIN_MARGIN = 0.06
 #: The same for parts of fewer than SHORT words, in which names and terms weigh more.
@@ -99,55 +107,61 @@ class Compressors:
     def __init__(self, prose: dict[str, str]) -> None:
         import zstandard
 
-        self.by = {}
-        for lang in LANGUAGES:
-            d = zstandard.ZstdCompressionDict(prose[lang].lower().encode()[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        def prepared(text: str):
+            d = zstandard.ZstdCompressionDict(text.lower().encode()[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=1)
-            self.by[lang] = zstandard.ZstdCompressor(level=1, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            return zstandard.ZstdCompressor(level=1, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def sizes(self, parts: list[bytes]) -> dict[str, list[int]]:
-        return {lang: [len(c.compress(p)) for p in parts] for lang, c in self.by.items()}
+        own = {lang: prepared(prose[lang]) for lang in LANGUAGES}
+        self.latin = {lang: own[lang] for lang in LANGUAGES if lang != "ru"}
+        self.cyrillic = {"ru": own["ru"], **{lang: prepared(text) for lang, text in OTHERS.items()}}
 
     def classify(self, parts: list[str], min_margin: float) -> list[tuple[str | None, float]]:
-        """Language and confidence of each part; the script leaves one side out beforehand."""
-        latin = [k for k in LANGUAGES if k != "ru"]
+        """Language and confidence of each part, among the languages of the alphabet that most of its letters have.
+
+        A part that a language outside the seven fits best, or whose margin is narrow, has none.
+        """
         out: list[tuple[str | None, float]] = [(None, 0.0)] * len(parts)
-        work: list[int] = []
+        groups: tuple[list[int], list[int]] = ([], [])
         for i, p in enumerate(parts):
-            cyr = sum("Ѐ" <= ch <= "ӿ" for ch in p)
-            if 2 * cyr > len(p) - p.count(" "):
-                size = len(self.by["ru"].compress(p.encode()))
-                out[i] = ("ru", round(max(0.0, 1 - size / (len(p.encode()) + 9)), 4))
-            else:
-                work.append(i)
-        encoded = [parts[i].lower().encode() for i in work]
-        sizes = [[len(c.compress(b)) for b in encoded] for c in (self.by[k] for k in latin)]
-        for n, i in enumerate(work):
-            ranked = sorted((s[n] - 8, k) for s, k in zip(sizes, latin))
-            best, second = ranked[0], ranked[1]
-            margin = 1 - max(best[0], 1) / max(second[0], 1)
-            least = max(min_margin, SHORT_MARGIN) if parts[i].count(" ") + 1 < SHORT else min_margin
-            out[i] = (best[1] if margin >= least else None, round(margin, 4))
+            cyr = 0 if p.isascii() else sum("Ѐ" <= ch <= "ӿ" for ch in p)
+            groups[2 * cyr > len(p) - p.count(" ")].append(i)
+        for packed, work in zip((self.latin, self.cyrillic), groups):
+            encoded = [parts[i].lower().encode() for i in work]
+            sizes = [[len(c.compress(b)) for b in encoded] for c in packed.values()]
+            for n, i in enumerate(work):
+                best, second = sorted((s[n] - 8, k) for s, k in zip(sizes, packed))[:2]
+                margin = 1 - max(best[0], 1) / max(second[0], 1)
+                least = max(min_margin, SHORT_MARGIN) if parts[i].count(" ") + 1 < SHORT else min_margin
+                out[i] = (best[1] if margin >= least and best[1] in LANGUAGES else None, round(margin, 4))
         return out
 
-
     def settle(self, part: str, min_margin: float, min_words: int = MIN_WORDS) -> list[tuple[str, int, str | None, float]]:
         """A part of unclear language, cut once if two languages meet there.
 
         Two sentences without a mark between them make one part; it is cut before a capital
-        letter, or before any word if it is all in one case, where both sides have ``min_words`` words and are clearest, given that they differ.
+        letter, or before any word if it is all in one case, where both sides have ``min_words``
+        words and are clearest, given that they differ. Long parts are tried at ``CUTS`` places
+        evenly spread, then again around the clearest, so that the work grows with their length.
         """
         words = part.split()
         anywhere = part.islower() or part.isupper()
         cuts = [i for i in range(min_words, len(words) - min_words + 1) if anywhere or words[i][0].isupper()]
         best = None
-        if cuts:
-            sides = [" ".join(w) for i in cuts for w in (words[:i], words[i:])]
+        while cuts:
+            step = -(-len(cuts) // CUTS)
+            some = cuts[::step]
+            sides = [" ".join(w) for i in some for w in (words[:i], words[i:])]
             got = self.classify(sides, min_margin)
-            for n, i in enumerate(cuts):
+            for n, i in enumerate(some):
                 (a, x), (b, y) = got[2 * n], got[2 * n + 1]
                 if a and b and a != b and min(x, y) >= CLEAR and (best is None or min(x, y) > best[0]):
                     best = (min(x, y), [(sides[2 * n], i, a, x), (sides[2 * n + 1], len(words) - i, b, y)])
+            if step == 1:
+                break
+            # the clearest place, whether it is clear enough yet or not
+            at = max(range(len(some)), key=lambda n: (got[2 * n][0] != got[2 * n + 1][0], min(got[2 * n][1], got[2 * n + 1][1])))
+            cuts = cuts[max(0, (at - 1) * step + 1) : (at + 1) * step]
         if best:
             return best[1]
         lang, conf = self.classify([part], min_margin)[0]
@@ -195,7 +209,7 @@ def parts_udf(prose: dict[str, str], min_words: int = MIN_WORDS, min_margin: flo
             for c in cut:
                 row = []
                 for (p, n), (lang, conf) in zip(c, flat[at : at + len(c)]):
-                    two = conf < CLEAR and n >= 2 * min_words and lang != "ru"
+                    two = conf < CLEAR and n >= 2 * min_words
                     for q, k, g, v in packed.settle(p, min_margin, min_words) if two else [(p, n, lang, conf)]:
                         row.append((g, v, k, q if keep_text else None))
                 at += len(c)

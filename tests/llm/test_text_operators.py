@@ -317,3 +317,24 @@ def test_the_mix_does_not_depend_on_the_files(spark):
         drawn.append(Counter((r.doc_id, r.source, r.tokens, r.copies) for r in mixed.collect()))
         assert {r.source for r in mixing.short(mixing.report(planned, mixed)).collect()} == {"none"}
     assert drawn[0] == drawn[1]
+
+
+def test_other_languages_in_cyrillic_letters_are_rejected():
+    packed = language.Compressors(language.SEED)
+    ours = ["Наша команда работает над новым решением, и никто не знает, почему клиенты не видят своих данных", "Мы вчера потеряли много денег, потому что сервер опять не отвечал"]
+    others = ["Наша команда працює над новим рішенням і ніхто не знає чому клієнти не бачать своїх даних", "Нашият екип работи по ново решение и никой не знае защо клиентите не виждат своите данни", "Наш тим ради на новом решењу и нико не зна зашто клијенти не виде своје податке"]
+    assert [k for k, _ in packed.classify(ours + others, language.MIN_MARGIN)] == ["ru", "ru", None, None, None]
+
+
+def test_a_long_part_is_cut_in_about_linear_time():
+    import time
+
+    packed = language.Compressors(language.SEED)
+    en, de = "the team has lost a lot of money because our server did not answer ", "das team hat viel geld verloren weil unser server nicht mehr antwortet "
+    took = []
+    for n in (200, 1600):
+        began = time.process_time()
+        got = packed.settle((en * n + de * n).strip(), language.MIN_MARGIN)
+        took.append(time.process_time() - began)
+        assert [g[2] for g in got] == ["en", "de"] and abs(got[0][1] - 14 * n) <= 8
+    assert took[1] < 30 * took[0]
