@@ -338,3 +338,15 @@ def test_a_long_part_is_cut_in_about_linear_time():
         took.append(time.process_time() - began)
         assert [g[2] for g in got] == ["en", "de"] and abs(got[0][1] - 14 * n) <= 8
     assert took[1] < 30 * took[0]
+
+
+def test_prose_of_an_unknown_language_is_no_spam(spark):
+    random.seed(14)
+    prose = {"en": "the team has lost a lot of money because our server did not answer and nobody knows why".split(), "de": "das team hat viel geld verloren weil unser server nicht mehr antwortet und niemand kennt den grund".split()}
+    rows = [(i, " ".join(random.choices(prose[k], k=60) + [f"Name{random.randrange(99)}" for _ in range(12)]), k) for i in range(200) for k in [("en", "de")[i % 2]]]
+    it = "Ieri la squadra non è riuscita ad aprire la pagina e i clienti sono già molto stanchi. Quando siamo arrivati in ufficio nessuno sapeva perché il server aveva smesso di funzionare. Secondo loro la fattura resta la stessa anche se il servizio è peggiore, per cui da domani si cerca un altro fornitore che dia una mano."
+    nl = "Sinds gisteren kan het team de pagina niet openen en de klanten zijn al erg moe. Toen we op kantoor kwamen wist niemand waarom de server niet meer werkte. Volgens hen blijft de rekening hetzelfde hoewel de dienst slechter is, en dus gaan we op zoek naar een ander bedrijf dat ons wil helpen met de data."
+    rows += [(900 + i, " ".join(random.sample(t.split(" "), len(t.split(" ")))), k) for i in range(10) for t, k in [((it, "it"), (nl, None))[i % 2]]]
+    rows += [(950, "cheap shoes online store " * 18, None), (951, " | ".join(f"Shoe{i} Basic {i * 7} USDT" for i in range(30)), "it")]
+    got = {r.doc_id for r in stuffing.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got == {950, 951}
