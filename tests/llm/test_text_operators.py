@@ -99,8 +99,8 @@ def test_similarity_join_is_exact(spark, monkeypatch):
         rows.append((f"k{i:03d}", " ".join(words)))
     rows += [("e1", ""), ("e2", None), ("k000", "zz later copy"), ("c1", "a b c"), ("c2", "c, B a!"), ("one", "solo"), ("uno", "solo")]
     df = spark.createDataFrame(rows, "key string, text string")
-    for size in (4096, 8):  # whole lists, and lists cut into blocks
-        monkeypatch.setattr(near, "LIST", size)
+    for size in (4096, 64, 8, 1):  # whole lists, and lists cut into blocks
+        monkeypatch.setattr(near, "BLOCK", size)
         join = near.Join(df)
         assert {tuple(r) for r in join.pairs().collect()} == brute_pairs(rows)
         assert join.pairs().count() == len(brute_pairs(rows))
@@ -109,6 +109,29 @@ def test_similarity_join_is_exact(spark, monkeypatch):
     assert near.Join(df.limit(0)).pairs().count() == 0
 
 
+def test_blocks_are_bounded_and_skipped(spark):
+    random.seed(3)
+    # one word stands in every set, at the same place in sets of the same length
+    rows = [(i, 10 + i % 60, 0, 7) for i in range(600)] + [(1000 + i, 20, 0, 9) for i in range(300)] + [(2000 + i, 20, i % 5, 11 + i) for i in range(50)]
+    lists = spark.createDataFrame(rows, "id bigint, n int, pos int, tok bigint")
+    light, cut = near.blocks(lists, 16)
+    assert light.count() == 50 and cut.count() == 900
+    sizes = [r["count"] for r in cut.groupBy("tok", "block").count().collect()]
+    assert max(sizes) <= 40  # 16 on average
+    known = near.directory(cut)
+    of_seven = known.where("tok = 7").count()
+    kept = near.block_pairs(known)
+    assert 0 < kept.where("tok = 7").count() < of_seven * (of_seven + 1) // 2 * 0.8
+    # no pair that sizes allow is skipped
+    at = {r.id: r.block for r in cut.collect()}
+    cells = {(r.tok, r.bi, r.bj) for r in kept.collect()}
+    for x in random.sample(rows[:600], 60):
+        for y in random.sample(rows[:600], 60):
+            if x[1] * 100 >= 65 * y[1] and y[1] * 100 >= 65 * x[1]:
+                i, j = sorted((at[x[0]], at[y[0]]))
+                assert (7, i, j) in cells
+
+
 # terms
 
 
