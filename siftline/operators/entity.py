@@ -198,6 +198,21 @@ def link_suggestions(held: DataFrame, label: str = "label", block: int = LINK_BL
     return pairs.groupBy(low.alias("a"), high.alias("b")).agg(F.count_distinct(F.col("a.key")).alias("shared"))
 
 
+def link_classes(held: DataFrame, label: str = "label") -> DataFrame:
+    """entity, key, label and links of every holder of a shared key: its rows of other labels.
+
+    The classes of a key are its labels: every member of one is linked to every member of the
+    others, so the links are counted and not written out. Both counts are partial sums, and a
+    hot key has one row for each label on the side it is joined with.
+    """
+    rows = held.select("entity", "key", F.col(label).alias("label")).distinct()
+    named = rows.groupBy("key", F.coalesce("label", F.lit("")).alias("_l"), F.col("label").isNull().alias("_n")).agg(F.count("*").alias("own"))
+    whole = named.groupBy("key").agg(F.sum("own").alias("every"))
+    counts = named.join(whole, "key").select("key", "_l", "_n", (F.col("every") - F.col("own")).alias("links")).where("links > 0")
+    marked = rows.withColumn("_l", F.coalesce("label", F.lit(""))).withColumn("_n", F.col("label").isNull())
+    return marked.join(counts, ["key", "_l", "_n"]).select("entity", "key", "label", "links")
+
+
 def thread_windows(messages: DataFrame, by: list[str], order: list[str], text: str, last: int = 6) -> DataFrame:
     """messages with ``thread``: the last texts of the same group up to each, joined by a rule."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(last - 1), 0)

@@ -97,13 +97,27 @@ def formatted(found: Column) -> Column:
 # pages
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of an opening tag, quoted or not; empty where it has none."""
+    raw = F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.regexp_replace(raw, r"^[\"']|[\"']$", "")
+
+
+def inside(html: Column, element: str) -> Column:
+    """What stands in the first element of a name, up to its end or the next element; null without one."""
+    behind = F.try_element_at(F.split(html, rf"(?i)<{element}(?=[\s>])[^>]*>", 2), F.lit(2))
+    return F.split(behind, rf"(?i)</{element}\s*>", 2)[0]
+
+
 def page_title(html: Column) -> Column:
-    return F.nullif(squeezed(unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+    return F.nullif(squeezed(unescaped(inside(html, "title"))), F.lit(""))
 
 
 def meta_description(html: Column) -> Column:
-    one = F.regexp_extract(html, r"(?is)<meta[^>]+name=[\"']description[\"'][^>]+content=[\"']([^\"']*)[\"']", 1)
-    return F.nullif(squeezed(unescaped(one)), F.lit(""))
+    """Content of the first meta tag of this name, whatever the order of its attributes."""
+    metas = F.regexp_extract_all(html, F.lit(r"(?i)(<meta(?=[\s/])[^>]*>)"), F.lit(1))
+    named = F.filter(metas, lambda t: F.lower(attribute(t, "name")) == "description")
+    return F.nullif(squeezed(unescaped(attribute(F.try_element_at(named, F.lit(1)), "content"))), F.lit(""))
 
 
 def links(html: Column) -> Column:
@@ -147,11 +161,29 @@ def json_leaves(df: DataFrame, column: str, key: str) -> DataFrame:
             return out
 
 
-def forum_posts(html: Column) -> Column:
-    """Array of struct(author, body): the n-th author with the n-th body."""
-    authors = F.regexp_extract_all(html, F.lit(r"(?is)<(?:a|div|span)[^>]*class=[\"'][^\"']*\busername\b[^\"']*[\"'][^>]*>(.*?)</(?:a|div|span)>"), F.lit(1))
-    bodies = F.regexp_extract_all(html, F.lit(r"(?is)<div[^>]*class=[\"'][^\"']*\b(?:postbody|bbWrapper)\b[^\"']*[\"'][^>]*>(.*?)</div>"), F.lit(1))
-    return F.transform(F.arrays_zip(authors.alias("a"), bodies.alias("b")), lambda p: F.struct(visible(p["a"]).alias("author"), visible(p["b"]).alias("body")))
+# Class names of authors and posts in common forum software.
+AUTHOR_CLASSES = ("username",)
+BODY_CLASSES = ("postbody", "bbWrapper")
+
+
+def _opened(classes: tuple[str, ...]) -> str:
+    """Pattern of an opening tag whose class list has one of the names."""
+    return rf"(?i)<[a-z][^>]*\sclass\s*=\s*[\"']?(?:[^\"'>]*\s)?(?:{'|'.join(classes)})(?=[\s\"'>])[^>]*>"
+
+
+def forum_posts(html: Column, authors: tuple[str, ...] = AUTHOR_CLASSES, bodies: tuple[str, ...] = BODY_CLASSES) -> Column:
+    """Array of struct(author, body): a page is cut where an author is named, and each piece holds the post.
+
+    A piece without a body has an empty one; a body ends with its element or with the piece.
+    """
+    pieces = F.split(html, _opened(authors))
+    pieces = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+    def post(piece: Column) -> Column:
+        body = F.coalesce(F.try_element_at(F.split(piece, _opened(bodies), 2), F.lit(2)), F.lit(""))
+        return F.struct(visible(F.split(piece, "</", 2)[0]).alias("author"), visible(F.split(body, r"(?i)</(?:div|article)\s*>", 2)[0]).alias("body"))
+
+    return F.transform(pieces, post)
 
 
 def sitemap_locations(xml: Column) -> Column:
@@ -159,7 +191,10 @@ def sitemap_locations(xml: Column) -> Column:
 
 
 def robots_sitemaps(text: Column) -> Column:
-    return _all(text, r"(?im)^\s*sitemap:\s*(\S+)")
+    """Distinct locations of the lines whose field, before the first colon, is sitemap."""
+    lines = F.transform(F.split(text, r"\R"), lambda x: F.split(F.split(x, "#", 2)[0], ":", 2))
+    own = F.filter(lines, lambda f: (F.size(f) == 2) & (F.lower(F.trim(f[0])) == "sitemap") & (F.trim(F.try_element_at(f, F.lit(2))) != ""))
+    return F.array_distinct(F.transform(own, lambda f: F.trim(f[1])))
 
 
 def seller_lines(body: Column) -> Column:

@@ -317,13 +317,13 @@ def entity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REG.query("link_suggestions", r"""
-WITH k AS (SELECT DISTINCT user_id AS entity, source_chat AS key, outreach_fit AS label FROM telegram_person_doc WHERE user_id IS NOT NULL AND source_chat IS NOT NULL AND source_chat NOT LIKE '%tracker_ops%'),
-a AS (SELECT x.entity AS a, y.entity AS b, x.key FROM k x JOIN k y ON x.key = y.key AND x.entity < y.entity AND x.label IS DISTINCT FROM y.label)
-SELECT a, b, count(DISTINCT key) AS shared FROM a GROUP BY a, b
+WITH k AS (SELECT DISTINCT user_id AS entity, source_chat AS key, outreach_fit AS label FROM telegram_person_doc WHERE user_id IS NOT NULL AND source_chat IS NOT NULL),
+c AS (SELECT *, count(*) OVER (PARTITION BY key) - count(*) OVER (PARTITION BY key, label) AS links FROM k)
+SELECT entity, key, label, links FROM c WHERE links > 0
 """)
 def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that share a key but not the label, without the chats of tracker_ops as its SQL states; whole in link_suggestions_all."""
-    return entity.link_suggestions(_chat_labels(spark, sf_dir).where("key not like '%tracker_ops%'"))
+    """Everyone who shares a chat with someone of another label, with the class (chat and label) and the number of links."""
+    return entity.link_classes(_chat_labels(spark, sf_dir))
 
 
 def _chat_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,12 +35,16 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder of this application below spark.checkpoint.dir, which every executor can read.
 
-    Where the session names none (tests, a local session) a folder of this machine is made.
-    What lies in it is deleted when the application ends.
+    Where a local session names none, as in tests, a folder of this machine is made; on a
+    cluster that is an error. What lies in it is deleted when the application ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftline-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="siftline-")
         where = f"{base.rstrip('/')}/siftline-{app}"
         path = spark._jvm.org.apache.hadoop.fs.Path(where)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -55,6 +59,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what was stored under a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 

@@ -80,8 +80,11 @@ def frames(data: bytes) -> Iterator[dict]:
     at = 0
     while at + 4 <= len(data):
         n, at = _size(data, at, 4)
-        if n > FRAME_BYTES or at + n > len(data):
+        if at + n > len(data):  # cut off, or no length at all
             return
+        if n > FRAME_BYTES:  # too long a frame is left out like any other that cannot be read
+            at += n
+            continue
         try:
             value, _ = _unpack(data[at : at + n], 0)
         except (ValueError, IndexError, struct.error):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.reports import upserted
-from siftline.session import scratch
+from siftline.session import discard, scratch
 
 
 def ndjson(rows: DataFrame, path: str, order: Sequence[str] = (), most: int | None = None) -> None:
@@ -22,16 +22,17 @@ def ndjson(rows: DataFrame, path: str, order: Sequence[str] = (), most: int | No
 def merge(rows: DataFrame, path: str, key: str, at: str, first_only: Sequence[str]) -> DataFrame:
     """Upsert into a Parquet table: latest values, ``first_only`` columns from the first time.
 
-    The new state is written beside the old one and then replaces it, so a lost executor or a
-    failed write leaves the old state as it was. Running a batch twice changes nothing.
+    The table is a folder of versions and a pointer to the current one. A new state is written
+    as a version of its own, and the pointer is replaced last by one rename, so a failed write
+    or a lost driver leaves the old state as it was. Running a batch twice changes nothing.
+    Older versions than the last two are deleted, so that readers of the last one can finish.
     """
     spark = rows.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     state = upserted(rows, key, at, first_only).drop("versions").select(*rows.columns)
-    if fs.exists(jvm_path):
+    last = current(spark, path)
+    if last is not None:
         new = state.select(*[F.col(c).alias(f"_n_{c}") for c in rows.columns])
-        both = spark.read.parquet(path).withColumn("_held", F.lit(True)).join(new, F.col(key) == F.col(f"_n_{key}"), "full_outer")
+        both = spark.read.parquet(f"{path}/v{last}").withColumn("_held", F.lit(True)).join(new, F.col(key) == F.col(f"_n_{key}"), "full_outer")
         newer = F.col(f"_n_{at}").isNotNull() & (F.col(at).isNull() | (F.col(f"_n_{at}") >= F.col(at)))
         held = F.coalesce("_held", F.lit(False))
 
@@ -41,25 +42,56 @@ def merge(rows: DataFrame, path: str, key: str, at: str, first_only: Sequence[st
             return F.when(held & F.lit(c in first_only), F.col(c)).when(newer | ~held, F.col(f"_n_{c}")).otherwise(F.col(c))
 
         state = both.select(*[value(c).alias(c) for c in rows.columns])
-    fresh = scratch(spark, "merge")
-    state.write.parquet(fresh)
-    old = scratch(spark, "old")
-    if fs.exists(jvm_path):
-        fs.rename(jvm_path, spark._jvm.org.apache.hadoop.fs.Path(old))
-    fs.mkdirs(jvm_path.getParent())
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), jvm_path)
-    return spark.read.parquet(path)
+    version = 0 if last is None else last + 1
+    state.write.mode("overwrite").parquet(f"{path}/v{version}")  # what a failed run left there is replaced
+    fs, at_ = _files(spark, path)
+    pointer = at_(f"p{version}")
+    out = fs.create(at_(f"_p{version}"), True)
+    out.close()
+    if not fs.rename(at_(f"_p{version}"), pointer) and not fs.exists(pointer):
+        raise OSError(f"version {version} of {path} could not be made current")
+    for old in range(max(0, version - 3), max(0, version - 1)):
+        fs.delete(at_(f"p{old}"), False)
+        fs.delete(at_(f"v{old}"), True)
+    return spark.read.parquet(f"{path}/v{version}")
+
+
+def _files(spark: SparkSession, path: str):
+    """File system of a path, and a function from a name below it to its path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: hadoop.Path(f"{path}/{name}")
+
+
+def current(spark: SparkSession, path: str) -> int | None:
+    """Number of the current version of a merged table: the highest that has a pointer."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at("")):
+        return None
+    names = [str(f.getPath().getName()) for f in fs.listStatus(at(""))]  # a few versions
+    return max((int(n[1:]) for n in names if n.startswith("p") and n[1:].isdigit()), default=None)
+
+
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """The current state of a merged table."""
+    last = current(spark, path)
+    if last is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v{last}")
 
 
 def fan_out(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """One foreachBatch function for several targets; the batch is stored once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        path = scratch(batch.sparkSession, f"batch{batch_id}")
-        batch.write.parquet(path)
-        kept = batch.sparkSession.read.schema(batch.schema).parquet(path)
-        for target in targets:
-            target(kept, batch_id)
+        spark = batch.sparkSession
+        path = scratch(spark, f"batch{batch_id}")
+        try:
+            batch.write.parquet(path)
+            kept = spark.read.schema(batch.schema).parquet(path)
+            for target in targets:
+                target(kept, batch_id)
+        finally:
+            discard(spark, path)
 
     return write
 

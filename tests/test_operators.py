@@ -228,7 +228,16 @@ def test_link_suggestions_all_takes_every_chat(spark, tmp_path):
     rows = [(1, "tracker_ops_hub", "yes"), (2, "tracker_ops_hub", "no"), (3, "deals", "yes"), (4, "deals", "no"), (None, "deals", "no"), (5, None, "yes")]
     spark.createDataFrame(rows, "user_id bigint, source_chat string, outreach_fit string").write.parquet(f"{tmp_path}/telegram_person_doc.parquet")
     assert {tuple(r) for r in plans.link_suggestions_all(spark, str(tmp_path)).collect()} == {(1, 2, 1), (3, 4, 1)}
-    assert {tuple(r) for r in plans.link_suggestions(spark, str(tmp_path)).collect()} == {(3, 4, 1)}
+    assert {tuple(r) for r in plans.link_suggestions(spark, str(tmp_path)).collect()} == {(1, "tracker_ops_hub", "yes", 1), (2, "tracker_ops_hub", "no", 1), (3, "deals", "yes", 1), (4, "deals", "no", 1)}
+
+
+def test_link_classes_count_the_links(spark):
+    random.seed(6)
+    held = [(i, "hot", random.choice(["x", "y", None, ""])) for i in range(90)] + [(i, f"k{i % 7}", random.choice("xy")) for i in range(60)] + [(3, "hot", "z"), (7, "alone", "x"), (8, "same", None), (9, "same", None)]
+    rows = set(held)
+    want = {(e, k, x): sum(k == k2 and x != x2 for _, k2, x2 in rows) for e, k, x in rows}
+    got = {(r.entity, r.key, r.label): r.links for r in entity.link_classes(spark.createDataFrame(held * 2, "entity bigint, key string, label string")).collect()}
+    assert got == {k: n for k, n in want.items() if n}
 
 
 def test_replay_goes_by_arrival_not_by_seq(spark):

@@ -1,6 +1,9 @@
 import json
 import struct
 
+import pytest
+from pyspark.sql import functions as F
+
 from siftline.sources import readers, writers
 from siftline.streaming import ingest
 
@@ -28,6 +31,14 @@ def test_frames(spark, tmp_path):
     assert [(r.source, r.message_id) for r in got] == [("b", None), ("telegram:a", 5_000_000_000)] and got[1].message_meta == {"views": "3"}
 
 
+def test_an_oversized_frame_is_skipped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "FRAME_BYTES", 64)
+    good = [pack({"source": s, "text": s}) for s in ("a", "b", "c")]
+    parts = [good[0], pack({"source": "long", "text": "x" * 40, "title": "y" * 40}), good[1], good[2]]
+    data = b"".join(struct.pack(">I", len(p)) + p for p in parts)
+    assert [m["source"] for m in readers.frames(data)] == ["a", "b", "c"]
+
+
 def test_lines_and_lists(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"source": "s", "text": "t"}\nnot json\n\n{"source": "u"}\n')
     assert {r.source for r in readers.ndjson(spark, str(tmp_path / "m.json")).where("source is not null").collect()} == {"s", "u"}
@@ -54,6 +65,21 @@ def test_merge_twice_changes_nothing(spark, tmp_path):
     assert {tuple(r) for r in again.select("k", "ts", "status", "score").collect()} == {("a", 2, "new", 9), ("b", 1, "new", 1)}
 
 
+def test_a_failed_merge_leaves_the_table_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, "new", 5)], "k string, ts int, status string, score int")
+    for n in range(5):
+        writers.merge(rows.withColumn("ts", F.lit(n)), path, "k", "ts", ["status"])
+    assert writers.current(spark, path) == 4 and sorted(p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v")) == ["v3", "v4"]
+    # a version without a pointer is what a failed run leaves behind
+    rows.write.parquet(f"{path}/v5")
+    assert [r.ts for r in writers.merged(spark, path).collect()] == [4]
+    with pytest.raises(Exception):
+        writers.merge(rows.withColumn("ts", F.raise_error("lost")), path, "k", "ts", ["status"])
+    assert [r.ts for r in writers.merged(spark, path).collect()] == [4]
+    assert [r.ts for r in writers.merge(rows.withColumn("ts", F.lit(9)), path, "k", "ts", ["status"]).collect()] == [9]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from siftline.operators import redelivery as R
 
