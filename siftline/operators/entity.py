@@ -126,6 +126,25 @@ def replay(sightings: DataFrame, arrival: tuple[str, ...] = ("seq",)) -> DataFra
     return every.select("seq", entity_id(F.col("primary_key")).alias("entity"))
 
 
+def nodes(sightings: DataFrame) -> DataFrame:
+    """The node of every entity: aliases, counters, bounds and its canonical sighting.
+
+    sightings: component, hash_id, keys, score, family, seen; one row for each hash_id. Sums and
+    bounds combine in the map task; distinct keys are counted apart, so that no node gathers a list.
+    """
+    counts = sightings.groupBy(F.col("component").alias("entity")).agg(
+        F.count("*").alias("sightings"), F.count_distinct("family").alias("families"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"),
+        F.max("score").alias("best_score"), F.max_by("hash_id", F.struct("score", "hash_id")).alias("canonical"),
+    )
+    known = sightings.select(F.col("component").alias("entity"), F.explode("keys").alias("key")).distinct().groupBy("entity").agg(F.count("*").alias("aliases"))
+    return counts.join(known, "entity", "left").na.fill(0, ["aliases"])
+
+
+def split(sightings: DataFrame, gone: DataFrame) -> DataFrame:
+    """The nodes as they are without some sightings (gone: hash_id); a node that loses all of them is no more."""
+    return nodes(sightings.join(gone.select("hash_id").distinct(), "hash_id", "left_anti"))
+
+
 def timeline(sightings: DataFrame, most: int = 20) -> DataFrame:
     """The newest sightings of each entity by event time (posted, else seen), tie by hash descending."""
     at = F.coalesce("posted_at", "seen_at")

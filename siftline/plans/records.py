@@ -189,21 +189,6 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("list_name", F.lower(X.squeezed(F.col("phrase"))).alias("phrase")).agg(F.max("weight").alias("weight"), F.count("*").alias("spellings"))
 
 
-@REG.query("lexicon_scores", rf"""
-WITH k AS (SELECT {_PHRASE} AS phrase, max(weight) AS weight FROM keywords_gray WHERE list_name = 'keywords' AND weight IS NOT NULL AND trim(phrase) <> '' GROUP BY 1),
-m AS (SELECT row_number() OVER () AS r, hash_id, ts, lower(regexp_replace(array_to_string(matched, ' ; '), '\s+', ' ', 'g')) AS t FROM lead_doc),
-h AS (SELECT r, sum(weight) AS score, count(*) AS hits FROM m JOIN k ON CASE WHEN contains(phrase, ' ') THEN contains(t, phrase)
- ELSE regexp_matches(t, '(?:^|[^\p{{L}}\p{{Nd}}_])' || phrase || '(?:[^\p{{L}}\p{{Nd}}_]|$)') END GROUP BY r)
-SELECT CAST(coalesce(score, 0) AS BIGINT) AS score, coalesce(hits, 0) AS hits, count(*) AS leads FROM m LEFT JOIN h USING (r) GROUP BY 1, 2
-""")
-def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy weighted matching over the joined ``matched`` entries."""
-    rules = scoring.rules(table(spark, sf_dir, "keywords_gray"), "keywords")
-    text = X.squeezed(F.array_join("matched", " ; "))
-    hits = table(spark, sf_dir, "lead_doc").select(scoring.matched(F.lower(text), rules).alias("h"))
-    return hits.groupBy(scoring.total(F.col("h")).cast("bigint").alias("score"), F.size("h").cast("bigint").alias("hits")).agg(F.count("*").alias("leads"))
-
-
 @REG.query("priorities", f"""
 WITH d AS (SELECT score, posted_at, epoch(TIMESTAMP '{AS_OF}') - floor(epoch(posted_at)) AS age FROM lead_doc),
 s AS (SELECT score, posted_at, CASE WHEN posted_at IS NULL THEN score WHEN age <= 172800 THEN score + 10 WHEN age <= 604800 THEN score + 5 WHEN age <= 2592000 THEN score

@@ -304,12 +304,6 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lead_keys(spark, sf_dir).select(F.xxhash64("hash_id").alias("seq"), "hash_id", "ts", "keys")
 
 
-@REG.query("entity_components")
-def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1: components over shared keys."""
-    return entity.linked(sightings(spark, sf_dir).select("seq", "hash_id", "keys")).select("hash_id", "component")
-
-
 @REG.query("entity_replay")
 def entity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities as sightings found or join them one after another."""

@@ -282,3 +282,29 @@ def test_json_leaves_of_a_deep_document(spark):
     df = spark.createDataFrame(rows, "id int, j string")
     want = [(n, f"at {n}") for n, _ in rows[:-1]] + [(1, "x"), (1, "deep"), (1, "")]
     assert sorted(tuple(r) for r in extract.json_leaves(df, "j", "id").collect()) == sorted(want)
+
+
+def test_scoring_in_one_pass_equals_the_fold(spark):
+    from siftline.operators import scoring
+
+    random.seed(12)
+    words = ["bid", "bid floor", "floor", "old bid floor", "c++", "трекер", "keitaro", "a.b", "floor price", "price_x", "ст"]
+    ordered = sorted((scoring.Rule(w, 3 + i) for i, w in enumerate(words)), key=lambda r: (-len(r.phrase.encode()), -r.weight, r.phrase))
+    texts = [None, "", "bid bid floor floor", "xbid floorx", "OLD BID FLOOR bid", "c++ c++x трекеры трекер", "a.b,a.b price_x floor price"]
+    texts += ["".join(random.choices(["bid", "floor", " ", " ", "old ", ",", "_", "9", "c++", "трекер", "ст", "price"], k=12)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    one = scoring.matched_in_one_pass(ordered)(F.col("t")).alias("h")
+    got = {r.i: [tuple(h) for h in r.h] for r in df.select("i", one).collect()}
+    assert got == {r.i: [tuple(h) for h in r.h] for r in df.select("i", scoring.matched(F.col("t"), ordered).alias("h")).collect()}
+    assert scoring.matched_in_one_pass([])(F.col("t")) is not None and df.select(scoring.matched_in_one_pass([])(F.col("t")).alias("h")).first().h == []
+
+
+def test_nodes_and_splits(spark):
+    rows = [("a", "a", ["k1", "k2"], 5, "x", 1), ("b", "a", ["k2"], 9, "y", 2), ("c", "a", [], 9, "x", 3), ("d", "d", None, None, None, None)]
+    df = spark.createDataFrame(rows, "hash_id string, component string, keys array<string>, score int, family string, seen int")
+    got = {r.entity: r for r in entity.nodes(df).collect()}
+    assert (got["a"].aliases, got["a"].sightings, got["a"].families, got["a"].first_seen, got["a"].last_seen, got["a"].best_score, got["a"].canonical) == (2, 3, 2, 1, 3, 9, "c")
+    assert got["d"].aliases == 0 and got["d"].families == 0
+    left = {r.entity: r for r in entity.split(df, spark.createDataFrame([("b",), ("d",)], "hash_id string")).collect()}
+    assert set(left) == {"a"} and (left["a"].aliases, left["a"].sightings, left["a"].canonical) == (2, 2, "c")
+    assert entity.nodes(df.limit(0)).count() == 0
