@@ -53,9 +53,15 @@ def search(rows: DataFrame, needle: str, *columns: str) -> DataFrame:
 
 
 def resolve_prefix(rows: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
-    """prefix, matches and the key if it is the only one; prefixes are a short list of requests."""
+    """prefix, matches and the key if it is the only one; prefixes are a list of requests.
+
+    Every key is cut to the lengths that are asked for, and these are joined by equality.
+    """
+    asked = prefixes.where("prefix is not null").distinct()
+    lengths = [r["n"] for r in asked.select(F.length("prefix").alias("n")).distinct().collect()]  # no more than a key has characters
     known = rows.select(key).distinct()
-    met = F.broadcast(prefixes).join(known, F.startswith(F.col(key), F.col("prefix")), "left")
+    cut = F.array(*[F.when(F.length(key) >= n, F.substring(key, 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    met = asked.join(known.select(key, F.explode(F.array_compact(cut)).alias("prefix")), "prefix", "left")
     found = met.groupBy("prefix").agg(F.count(key).alias("matches"), F.min(key).alias("one"))
     return found.select("prefix", "matches", F.when(F.col("matches") == 1, F.col("one")).alias("resolved"))
 

@@ -159,7 +159,7 @@ g AS (SELECT arrival_seq, round_id, CASE WHEN trim(t) = '' THEN 'empty_text'
 
 @REG.query("gate_funnel", _JUDGED + "SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM g GROUP BY 1")
 def gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G01 to G36 as a chain: one outcome for every row."""
+    """The mechanism of ordered gates over neutral rules: one outcome for every row."""
     return gates.funnel(judged(spark, sf_dir))
 
 
@@ -184,7 +184,7 @@ _PHRASE = r"lower(trim(regexp_replace(phrase, '\s+', ' ', 'g')))"
 SELECT list_name, {_PHRASE} AS phrase, max(weight) AS weight, count(*) AS spellings FROM keywords_gray WHERE weight IS NOT NULL AND trim(phrase) <> '' GROUP BY 1, 2
 """)
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon as it is used: lower case, one weight for each phrase."""
+    """The lexicon as it is used: lower case, one weight for each phrase."""
     rows = table(spark, sf_dir, "keywords_gray").where("weight is not null and trim(phrase) <> ''")
     return rows.groupBy("list_name", F.lower(X.squeezed(F.col("phrase"))).alias("phrase")).agg(F.max("weight").alias("weight"), F.count("*").alias("spellings"))
 
@@ -220,13 +220,20 @@ def message_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "telegram_sample").select("arrival_seq", identity.record_hash(F.col("source"), F.col("message_id"), none).alias("message_hash"), X.stable_shard(F.col("source"), 8).alias("shard"))
 
 
-@REG.query("sampled_rows")
+@REG.query("sampled_rows", """
+WITH h AS (SELECT arrival_seq, hex(encode(text)) AS h FROM raw_sample WHERE text IS NOT NULL),
+s AS (SELECT arrival_seq, list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda a, x: (xor(a, x) * 16777619) % 4294967296, 2166136261::BIGINT) % 100 AS slot FROM h)
+SELECT arrival_seq, slot FROM s WHERE slot < 10
+""")
 def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P25: rows that deterministic sampling by FNV-1a takes; the sample is the feature."""
     return table(spark, sf_dir, "raw_sample").select("arrival_seq", (X.fnv1a32(F.col("text")) % 100).alias("slot")).where("slot < 10")
 
 
-@REG.query("stored_snippets")
+@REG.query("stored_snippets", r"""
+WITH s AS (SELECT hash_id, trim(regexp_replace(snippet, '\s+', ' ', 'g')) AS s FROM lead_doc)
+SELECT hash_id, CASE WHEN strlen(s) <= 500 THEN s ELSE left(s, list_max(list_filter(range(0, 498), lambda n: strlen(left(s, n)) <= 497))) || '...' END AS snippet FROM s
+""")
 def stored_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space squeezed, at most 500 bytes, cut between characters."""
     return table(spark, sf_dir, "lead_doc").select("hash_id", X.capped_bytes(X.squeezed(F.col("snippet")), 500).alias("snippet"))
@@ -268,5 +275,6 @@ SELECT e.vec_id AS key, a.anchor_set, round(max(list_cosine_similarity(CAST(e.em
 def anchor_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Highest similarity to each anchor set."""
     v = table(spark, sf_dir, "embeddings")
+    # one anchor for each label, a list written by hand
     anchors = v.groupBy(F.col("label").alias("anchor_set")).agg(F.min_by("embedding", "vec_id").alias("vector"))
     return identity.max_similarity(v.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), anchors).withColumn("similarity", F.round("similarity", 6))

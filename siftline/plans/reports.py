@@ -125,7 +125,7 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT hash_id, arg_max(score, ts) AS score, arg_max(source, ts) AS source, arg_min(status, ts) AS status, min(ts) AS first_ts, max(ts) AS ts, count(*) AS versions FROM lead_doc GROUP BY hash_id
 """)
 def upserted_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each lead, the latest values, the first status and time."""
+    """One row for each lead, the latest values, the first status and time."""
     rows = table(spark, sf_dir, "lead_doc").select("hash_id", "ts", "score", "source", "status", F.col("ts").alias("first_ts"))
     return reports.upserted(rows, "hash_id", "ts", ["status", "first_ts"])
 
@@ -196,7 +196,7 @@ WITH r AS (SELECT hash_id, date_trunc('week', ts) AS week, row_number() OVER (PA
 SELECT hash_id, CAST(week AS DATE) AS week, place FROM r WHERE place <= 5
 """)
 def weekly_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five of each week; the quota is the feature."""
+    """the first five of each week; the quota is the feature."""
     rows = table(spark, sf_dir, "lead_doc").where("ts is not null").select("hash_id", "ts", "score")
     return reports.weekly_quota(rows, "ts", [F.desc("score"), F.col("hash_id"), F.col("ts")], 5).select("hash_id", F.to_date("week").alias("week"), "place")
 
@@ -239,7 +239,7 @@ WITH m AS (SELECT event_type || '_p99' AS name, quantile_cont(value, 0.99) AS va
 SELECT name, round(value, 6) AS value, lim AS limit_value FROM m JOIN (VALUES ('click_p99', 1.0), ('view_p99', 1e9), ('purchase_count', 10.0), ('click_count', 1e12)) l(n, lim) ON n = name WHERE value > lim
 """)
 def measure_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures against their limits."""
+    """Measures against their limits."""
     e = table(spark, sf_dir, "events")
     p = e.groupBy(F.concat("event_type", F.lit("_p99")).alias("name")).agg(F.percentile("value", F.lit(0.99)).alias("value"))
     c = e.groupBy(F.concat("event_type", F.lit("_count")).alias("name")).agg(F.count("*").cast("double").alias("value"))
@@ -295,7 +295,7 @@ k AS (SELECT hash_id, CASE c.type WHEN 'site' THEN 'domain:' || regexp_replace(r
 SELECT key, count(DISTINCT hash_id) AS leads FROM k WHERE key IS NOT NULL GROUP BY key
 """)
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identity keys and the leads that hold them."""
+    """Identity keys and the leads that hold them."""
     return lead_keys(spark, sf_dir).select("hash_id", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("leads"))
 
 
@@ -306,7 +306,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.query("entity_replay")
 def entity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities as sightings found or join them one after another."""
+    """Entities as sightings found or join them one after another."""
     return entity.replay(sightings(spark, sf_dir), ("ts", "hash_id"))
 
 

@@ -308,3 +308,31 @@ def test_nodes_and_splits(spark):
     left = {r.entity: r for r in entity.split(df, spark.createDataFrame([("b",), ("d",)], "hash_id string")).collect()}
     assert set(left) == {"a"} and (left["a"].aliases, left["a"].sightings, left["a"].canonical) == (2, 2, "c")
     assert entity.nodes(df.limit(0)).count() == 0
+
+
+def test_seen_first_over_gaps_and_hot_keys(spark):
+    from siftline.operators import identity
+
+    random.seed(9)
+    rows = [(i, random.choice(["hot", "hot", "a", "b", None]), random.randrange(0, 4000)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, k string, s int").withColumn("at", F.timestamp_seconds("s"))
+    last, want = {}, set()
+    for i, k, s in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k is None or k not in last or s - last[k] >= 60:
+            last[k] = s
+            want.add(i)
+    got = [r.id for r in identity.seen_first(df, "k", "at", "id", 60).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_near_recent_edge_cases(spark):
+    from siftline.operators import identity
+
+    rows = [("a", [1.0, 0.0]), ("b", [2.0, 0.1]), ("c", [0.0, 0.0]), ("d", None), ("e", [1.0]), ("f", []), ("g", [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "key string, vector array<double>")
+    recent = df.withColumn("rank", F.expr("ascii(key) - 96"))
+    assert {(r.key, r.near_key) for r in identity.near_recent(df, recent, 0.9, 7).collect()} == {("a", "b"), ("b", "a")}
+    assert identity.near_recent(df, recent.limit(0), 0.9, 7).count() == 0
+    best = {(r.key, r.anchor_set): round(r.similarity, 3) for r in identity.max_similarity(df, df.where("key in ('a', 'e')").withColumnRenamed("key", "anchor_set")).collect()}
+    assert best[("g", "a")] == -1.0 and best[("e", "e")] == 1.0 and best[("e", "a")] == 0.0 and best[("d", "a")] == 0.0 and len(best) == 14
+    assert identity.max_similarity(df, df.limit(0).withColumnRenamed("key", "anchor_set")).count() == 0
