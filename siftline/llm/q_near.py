@@ -29,7 +29,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.Join(leads(spark, sf_dir)).pairs().select(F.col("key_a").alias("hash_id_a"), F.col("key_b").alias("hash_id_b"))
 
 
-@REG.query("p2_groups")
+@REG.query("p2_groups", r"""
+WITH t AS (SELECT hash_id, min(coalesce(title, '') || ' ' || coalesce(snippet, '')) AS text FROM lead_doc WHERE hash_id IS NOT NULL GROUP BY hash_id),
+w AS (SELECT hash_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM t),
+c AS (SELECT w, min(hash_id) AS class_key, count(*) AS copies, len(w) AS n FROM w WHERE len(w) > 0 GROUP BY w),
+x AS (SELECT class_key, n, unnest(w) AS word FROM c),
+o AS (SELECT a.class_key AS x, b.class_key AS y, a.n AS n, b.n AS m, count(*) AS o FROM x a JOIN x b ON a.word = b.word AND a.class_key <> b.class_key GROUP BY 1, 2, 3, 4),
+d AS (SELECT x AS class_key, count(*) AS links FROM o WHERE o * 100 >= 65 * (n + m - o) GROUP BY 1)
+SELECT hash_id, c.class_key, copies, coalesce(links, 0) AS links FROM w JOIN c ON c.w = w.w LEFT JOIN d ON d.class_key = c.class_key
+""")
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, copies and number of similar classes of every lead."""
     return N.Join(leads(spark, sf_dir)).groups().withColumnRenamed("key", "hash_id")

@@ -2,9 +2,10 @@
 
 Entries are first counted within each record's task (records are brought together by their
 identifier, so a record is in one task only): a hot term leaves each task as one row. These
-partial counts are written to the shared folder, partitioned by bits of the term's hash;
-partitions above ``partition_rows`` are split by further bits, again and again, and each
-partition is then aggregated out-of-core by DuckDB, which spills to the shared folder too.
+partial counts are written to the shared folder, partitioned by bits of the term's hash, as many as
+their number asks for; partitions above ``partition_rows`` are split by further bits, all of a
+level in one job, again and again, and each partition is then aggregated out-of-core by DuckDB,
+which spills to the shared folder too where that is mounted as a file system.
 
 Defined cases: null and blank terms are dropped; a record with a null identifier has its terms
 counted as occurrences but is no record that holds them; records that come twice count once as
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from siftline.session import scratch, stored
 
-#: Hash bits of one level of partitioning.
-BITS = 4
+#: Hash bits of one level of partitioning, and the most of the first.
+BITS, FIRST_BITS = 4, 12
 #: Rows of partial counts that one DuckDB aggregation may take.
 PARTITION_ROWS = 2_000_000
 #: Memory of one DuckDB aggregation, beyond which it spills.
 DUCKDB_MEMORY = "256MB"
+#: The same where it cannot spill.
+DUCKDB_MEMORY_ALONE = "1GB"
 #: Bits of the hash that partitioning may use up; a partition of one term never splits further.
 MAX_BITS = 32
 
@@ -46,7 +49,9 @@ def partial_counts(entries: DataFrame) -> DataFrame:
 
     Only the exchange by record is made; both sums then run inside the task.
     """
-    parts = entries.repartition("record").groupBy("record", "term").agg(F.count("*").alias("n"))
+    # entries without a record belong together by their term only
+    part = F.when(F.col("record").isNull(), F.xxhash64(F.lit("term"), "term")).otherwise(F.xxhash64("record"))
+    parts = entries.withColumn("part", part).repartition("part").groupBy("part", "record", "term").agg(F.count("*").alias("n")).drop("part")
     schema = "term string, occurrences long, records long"
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,33 +72,41 @@ def partial_counts(entries: DataFrame) -> DataFrame:
     return parts.mapInArrow(within, schema)
 
 
-def _digit(level: int) -> Column:
-    """The level-th group of hash bits of a term."""
-    return F.shiftrightunsigned(F.xxhash64("term"), level * BITS).bitwiseAND(2**BITS - 1).cast("int")
+def _digit(start: int, bits: int) -> Column:
+    """Hash bits of a term from a place on."""
+    return F.shiftrightunsigned(F.xxhash64("term"), start).bitwiseAND(2**bits - 1).cast("int")
+
+
+_COUNTS = "term string, occurrences long, records long"
 
 
 def frequencies(entries: DataFrame, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """term, occurrences and records over all entries (record, term)."""
     spark = entries.sparkSession
-    counts = partial_counts(entries.where(F.col("term").isNotNull() & (F.col("term") != "")))
-    todo, level, done = [(counts, None)], 0, []
-    while todo:
+    todo = stored(partial_counts(entries.where(F.col("term").isNotNull() & (F.col("term") != ""))), "counts")
+    rows = todo.count()
+    if rows == 0:
+        return spark.createDataFrame([], _COUNTS)
+    bits, used, level, done = min(FIRST_BITS, max(BITS, (-(-rows // partition_rows) - 1).bit_length())), 0, 0, []
+    columns: list[str] = []
+    while True:
+        # each level is one job over all partitions that are too large
+        path, columns = scratch(spark, f"radix{level}"), [*columns, f"radix{level}"]
+        todo.withColumn(columns[-1], _digit(used, bits)).write.partitionBy(*columns).parquet(path)
+        used += bits
+        whole = spark.read.schema(f"{_COUNTS}, {', '.join(c + ' int' for c in columns)}").parquet(path)
+        sizes = whole.groupBy(*columns).agg(F.count("*").alias("rows"), F.min("term").alias("least"), F.max("term").alias("most")).collect()  # one row for each partition
         again = []
-        for part, _ in todo:
-            path = scratch(spark, f"radix{level}")
-            part.withColumn("radix", _digit(level)).write.partitionBy("radix").parquet(path)
-            whole = spark.read.schema("term string, occurrences long, records long, radix int").parquet(path)
-            sizes = whole.groupBy("radix").agg(F.count("*").alias("rows"), F.countDistinct("term").alias("terms")).collect()  # at most 2**BITS rows
-            for s in sizes:
-                one = whole.where(F.col("radix") == s["radix"]).drop("radix")
-                if s["rows"] > partition_rows and s["terms"] > 1 and (level + 1) * BITS < MAX_BITS:
-                    again.append((one, None))
-                else:
-                    done.append(f"{path}/radix={s['radix']}")
-        todo, level = again, level + 1
-    if not done:
-        return spark.createDataFrame([], "term string, occurrences long, records long")
-    return _aggregate(spark, done)
+        for s in sizes:
+            place = "/".join([path, *[f"{c}={s[c]}" for c in columns]])
+            if s["rows"] > partition_rows and s["least"] != s["most"] and used < MAX_BITS:
+                again.append(place)
+            else:
+                done.append(place)
+        if not again:
+            return _aggregate(spark, done)
+        todo = spark.read.schema(whole.schema).option("basePath", path).parquet(*again)
+        bits, level = BITS, level + 1
 
 
 def _aggregate(spark, paths: list[str]) -> DataFrame:
@@ -112,9 +125,10 @@ def _aggregate(spark, paths: list[str]) -> DataFrame:
                 where, inner = fs.FileSystem.from_uri(path)
                 db = duckdb.connect()
                 try:
-                    db.execute(f"SET memory_limit='{DUCKDB_MEMORY}'; SET threads=1; SET preserve_insertion_order=false")
-                    if isinstance(where, fs.LocalFileSystem):  # a mounted folder
-                        db.execute(f"SET temp_directory='{fs.FileSystem.from_uri(spill)[1]}/{uuid.uuid4().hex}'")
+                    # where the shared folder is not mounted nothing may be spilled: a partition is small enough to do without
+                    mounted = isinstance(where, fs.LocalFileSystem)
+                    db.execute(f"SET temp_directory='{fs.FileSystem.from_uri(spill)[1] + '/' + uuid.uuid4().hex if mounted else ''}'")
+                    db.execute(f"SET memory_limit='{DUCKDB_MEMORY if mounted else DUCKDB_MEMORY_ALONE}'; SET threads=1; SET preserve_insertion_order=false")
                     db.register("part", ds.dataset(inner, filesystem=where, format="parquet"))
                     found = db.execute("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY term").to_arrow_reader(65536)
                     yield from found
