@@ -46,8 +46,8 @@ def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return stored(every.join(vocabulary, "term", "left_semi"), "postings")
 
 
-def anchors(terms: DataFrame, lists: DataFrame, run: int = RUN, k: int = ANCHORS) -> DataFrame:
-    """item_id, off, term of the k rarest terms of every window of ``run`` words.
+def window_anchors(terms: DataFrame, lists: DataFrame, run: int = RUN, k: int = ANCHORS) -> DataFrame:
+    """item_id, win (place of its first word), rank, off and term of the k rarest terms of every window of ``run`` words.
 
     Windows that hold a term without postings are left out.
     """
@@ -56,10 +56,16 @@ def anchors(terms: DataFrame, lists: DataFrame, run: int = RUN, k: int = ANCHORS
     w = Window.partitionBy("item_id").orderBy("off").rowsBetween(0, run - 1)
     windows = rated.select(
         "item_id",
-        F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term")).over(w).alias("win"),
-    ).where(F.size("win") == run)
-    rare = windows.select("item_id", F.slice(F.array_sort("win"), 1, k).alias("rare")).where(F.col("rare")[0]["n"] > 0)
-    return rare.select("item_id", F.explode("rare").alias("a")).select("item_id", F.col("a.off").alias("off"), F.col("a.term").alias("term")).distinct()
+        F.col("off").alias("win"),
+        F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term")).over(w).alias("words"),
+    ).where(F.size("words") == run)
+    rare = windows.select("item_id", "win", F.slice(F.array_sort("words"), 1, k).alias("rare")).where(F.col("rare")[0]["n"] > 0)
+    return rare.select("item_id", "win", F.posexplode("rare").alias("rank", "a")).select("item_id", "win", "rank", F.col("a.off").alias("off"), F.col("a.term").alias("term"))
+
+
+def anchors(terms: DataFrame, lists: DataFrame, run: int = RUN, k: int = ANCHORS) -> DataFrame:
+    """item_id, off and term of the anchors of all windows, each once."""
+    return window_anchors(terms, lists, run, k).select("item_id", "off", "term").distinct()
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, k: int = ANCHORS) -> DataFrame:
@@ -92,16 +98,30 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, k: int = ANCHO
 
 
 def proximity(documents: DataFrame, items: DataFrame, k: int = 3 * ANCHORS, slack: int = 3, run: int = RUN) -> DataFrame:
-    """doc_id, item_id where all rarest terms of a window stand near their order.
+    """doc_id, item_id where all k rarest terms of a window stand near their order.
 
     The anchors of a window may each be shifted by up to ``slack`` words against the others,
-    so passages with inserted or removed words are found as well.
+    so passages with inserted or removed words are found as well. The rarest two are
+    intersected first: only where two of them meet near one diagonal an item and a document can
+    hold a whole window, and only those postings go on.
     """
     terms = stored(item_terms(items), "terms")
     lists = postings(documents, terms)
-    first = stored(anchors(terms, lists, run, k), "anchors")
-    if small_enough(first.count(), 64):
-        first = F.broadcast(first)
-    met = lists.join(first, "term").select("item_id", "doc_id", "off", (F.col("pos") - F.col("off")).alias("diag"))
-    w = Window.partitionBy("item_id", "doc_id").orderBy("diag").rangeBetween(0, slack)
-    return met.withColumn("near", F.size(F.collect_set("off").over(w))).where(F.col("near") >= k).select("doc_id", "item_id").distinct()
+    every = stored(window_anchors(terms, lists, run, k), "anchors")
+    bounded = lambda df, width: F.broadcast(df) if small_enough(df.count(), width) else df
+    rarest = every.where(F.col("rank") < ANCHORS).select("item_id", "off", "term").distinct()
+    # diagonals at most slack apart lie in the same cell or in neighbours, so each counts in two
+    cell = F.floor(F.col("diag") / (slack + 1))
+    in_cells = lambda df: df.withColumn("diag", F.col("pos") - F.col("off")).select("item_id", "doc_id", "off", "diag", F.explode(F.array(cell, cell - 1)).alias("cell"))
+    met = in_cells(lists.join(bounded(rarest, 64), "term"))
+    met = met.groupBy("item_id", "doc_id", "cell").agg(F.min("off").alias("a"), F.max("off").alias("b"))
+    pairs = stored(met.where((F.col("a") < F.col("b")) | F.lit(min(ANCHORS, k) < 2)).select("item_id", "doc_id", "cell"), "pairs")
+    # of these, the windows that have both as their rarest
+    again = in_cells(lists.join(bounded(rarest, 64), "term")).join(pairs, ["item_id", "doc_id", "cell"], "left_semi")
+    owned = again.join(bounded(every.where(F.col("rank") < ANCHORS).select("item_id", "win", "off"), 64), ["item_id", "off"])
+    hopeful = owned.groupBy("item_id", "doc_id", "cell", "win").agg(F.min("off").alias("a"), F.max("off").alias("b")).where((F.col("a") < F.col("b")) | F.lit(min(ANCHORS, k) < 2))
+    hopeful = stored(hopeful.select("item_id", "doc_id", "win").distinct(), "hopeful")
+    wanted = hopeful.join(every.select("item_id", "win", "off", "term"), ["item_id", "win"])
+    places = wanted.join(lists, ["doc_id", "term"]).select("item_id", "doc_id", "win", "off", (F.col("pos") - F.col("off")).alias("diag"))
+    w = Window.partitionBy("item_id", "doc_id", "win").orderBy("diag").rangeBetween(0, slack)
+    return places.withColumn("near", F.size(F.collect_set("off").over(w))).where(F.col("near") >= k).select("doc_id", "item_id").distinct()
