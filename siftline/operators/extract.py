@@ -124,6 +124,36 @@ def links(html: Column) -> Column:
     return _all(html, r"(?i)<a\b[^>]*\bhref=[\"']([^\"'#]+)[\"']")
 
 
+def unwrapped(url: Column, parameter: str) -> Column:
+    """The link that a redirect carries in a parameter, decoded; the link itself where it carries none."""
+    carried = F.regexp_extract(url, rf"[?&]{parameter}=([^&#]*)", 1)
+    return F.when(carried != "", F.try_url_decode(carried)).otherwise(url)
+
+
+def path_parts(url: Column) -> Column:
+    """Parts of the path of a link; an empty path has one empty part."""
+    path = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*$", "")
+    return F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/+")
+
+
+def permalink(url: Column) -> Column:
+    """One spelling of a link: https, host in lower case without www, path without final slash, no query or fragment."""
+    path = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*$", "")
+    site = F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+    return F.concat(F.lit("https://"), site, F.regexp_replace(path, r"/+$", ""))
+
+
+def literal_kind(word: Column) -> Column:
+    """What a string literal of a page is: link, asset, blob, no_letter or text."""
+    return (
+        F.when(word.rlike(r"^https?://"), "link")
+        .when(F.lower(word).rlike(r"\.(?:js|css|png|jpe?g|svg|gif|woff2?|ico)$"), "asset")
+        .when((F.length(word) >= 40) & word.rlike(r"^[A-Za-z0-9+/=_-]+$"), "blob")
+        .when(~word.rlike(r"\p{L}"), "no_letter")
+        .otherwise("text")
+    )
+
+
 def page_text(html: Column) -> Column:
     """struct(text, method): embedded JSON state, else description, else visible text."""
     state = F.regexp_extract(html, r"(?s)<script[^>]+type=[\"']application/(?:ld\+)?json[\"'][^>]*>(.*?)</script>", 1)

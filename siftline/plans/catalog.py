@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import delivery, entities, feedback, pages, records, reports
+from siftline.plans import delivery, entities, feedback, links, pages, records, reports
 
-REGISTRIES = [records.REG, reports.REG, feedback.REG, delivery.REG, entities.REG, pages.REG]
+REGISTRIES = [records.REG, reports.REG, feedback.REG, delivery.REG, entities.REG, pages.REG, links.REG]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,32 @@ def lexicon(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.select(name.alias("list_name"), "e.id", F.lower(squeezed(F.col("e.phrase"))).alias("phrase"), "e.weight", "e.tag", "locale").where(blank_to_null(F.col("phrase")).isNotNull())
 
 
+def export_rows(spark: SparkSession, path: str, schema: str, most_bytes: int = 4 * 1024 * 1024) -> DataFrame:
+    """JSON lines of an export; lines that are too long, or no JSON object of the schema, are left out."""
+    lines = spark.read.text(path).where(F.octet_length("value") <= most_bytes)
+    return lines.select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
+
+
+#: Fields of a measured event.
+PERF = "ts timestamp, kind string, name string, pid bigint, value double"
+
+
+def perf_events(spark: SparkSession, path: str) -> DataFrame:
+    """Measured events as JSON lines; those without a kind or a value are left out."""
+    return export_rows(spark, path, PERF).where("kind is not null and value is not null")
+
+
+def registry(spark: SparkSession, *paths: str) -> DataFrame:
+    """Registry files of JSON lines (domain, types, kind, seen_at): one row for each domain, types united, the first kind kept."""
+    rows = export_rows(spark, list(paths), "domain string, types array<string>, kind string, seen_at timestamp")
+    rows = rows.withColumn("domain", F.lower(F.trim("domain"))).where("domain <> ''")
+    return rows.groupBy("domain").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("types", F.array().cast("array<string>")))))).alias("types"),  # a dozen types
+        F.min_by("kind", F.when(F.col("kind").isNotNull(), F.col("seen_at"))).alias("kind"),
+        F.max("seen_at").alias("seen_at"),
+    )
+
+
 #: Readers by the name of their format.
 FORMATS: dict[str, Callable[..., DataFrame]] = {"ndjson": ndjson, "msgpack": msgpack, "csv": csv_records, "lines": line_list, "lexicon": lexicon}
 

@@ -118,3 +118,14 @@ def test_windows(spark, tmp_path):
     stream = spark.readStream.schema("k string, at timestamp").json(str(tmp_path / "in"))
     ingest.run_available(ingest.windowed_counts(stream, "k", "at"), str(tmp_path / "cp"), lambda b, _: out.extend(b.collect()))
     assert {(r.start.day, r.n) for r in out} >= {(1, 2), (2, 1)}
+
+
+def test_exports_events_and_registries(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"id": 1, "t": "a"}\n{"id": 2, "t": "' + "x" * 200 + '"}\nno json\n{"id": 3}\n')
+    assert [r.id for r in readers.export_rows(spark, str(tmp_path / "e.json"), "id int, t string", 100).where("id is not null").orderBy("id").collect()] == [1, 3]
+    (tmp_path / "p.json").write_text('{"kind": "sync", "name": "fsync", "value": 1.5}\n{"kind": "sync"}\n{"value": 3}\n')
+    assert [(r.kind, r.value) for r in readers.perf_events(spark, str(tmp_path / "p.json")).collect()] == [("sync", 1.5)]
+    (tmp_path / "r1.json").write_text('{"domain": "A.example ", "types": ["web"], "kind": "seed", "seen_at": "2026-01-02T00:00:00Z"}\n{"domain": ""}\n')
+    (tmp_path / "r2.json").write_text('{"domain": "a.example", "types": ["forum", "web"], "kind": "found", "seen_at": "2026-01-03T00:00:00Z"}\n{"domain": "b.example"}\n')
+    got = {r.domain: (r.types, r.kind) for r in readers.registry(spark, str(tmp_path / "r1.json"), str(tmp_path / "r2.json")).collect()}
+    assert got == {"a.example": (["forum", "web"], "seed"), "b.example": ([], None)}
