@@ -217,8 +217,8 @@ def _rewrite(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def suspect(text: Column) -> Column:
-    """Whether the transducer can change a text; decided in the JVM."""
-    return F.coalesce(text.rlike(SUSPECT), F.lit(False))
+    """Whether the transducer can change a text; decided in the JVM. A text with as many bytes as letters is ASCII."""
+    return F.coalesce((F.octet_length(text) > F.length(text)) & text.rlike(SUSPECT), F.lit(False))
 
 
 def canonical(df: DataFrame, column: str, into: str = "canonical", changes: str = "changes") -> DataFrame:
