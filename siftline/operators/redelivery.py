@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Columns that identify a message after normalisation.
 IDENTITY = ("_rd_chat", "_rd_message", "_rd_sender")
@@ -47,9 +48,30 @@ def _order() -> list[Column]:
 
 
 def _tie(df: DataFrame) -> Column:
-    """Orders rows of equal arrival by content, so that a rerun keeps the same one."""
-    plain = [f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant") and not f.name.startswith("_rd_")]
-    return F.xxhash64(*[F.col(c) for c in plain]) if plain else F.lit(0)
+    """Orders rows of equal arrival by content, so that a rerun keeps the same one.
+
+    Maps have no order and no hash: their entries are sorted, and what holds one is hashed as JSON.
+    """
+
+    def part(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.MapType) and not _holds(f.dataType.valueType):
+            return F.array_sort(F.map_entries(c))
+        if isinstance(f.dataType, T.VariantType):
+            return c.cast("string")
+        return F.to_json(c) if _holds(f.dataType) else c
+
+    parts = [part(f) for f in df.schema.fields if not f.name.startswith("_rd_")]
+    return F.xxhash64(*parts) if parts else F.lit(0)
+
+
+def _holds(kind: T.DataType) -> bool:
+    """Whether a type is a map or variant, or has one inside."""
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _holds(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_holds(f.dataType) for f in kind.fields)
 
 
 def first_copies(messages: DataFrame) -> DataFrame:

@@ -53,3 +53,12 @@ def test_cursors_under_two_spellings(spark):
 def test_empty_table(spark):
     none = rows(spark).limit(0)
     assert R.first_copies(none).count() == R.surplus_copies(none).count() == R.new_messages(none, none).count() == 0
+
+
+def test_ties_with_maps_and_nested_maps(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(5, "telegram:a", 1, "u", {"x": str(i), "y": "1"}, i) for i in range(6)]
+    df = spark.createDataFrame(rows, "arrival_seq bigint, source string, message_id bigint, username string, meta map<string,string>, n int").withColumn("deep", F.struct(F.create_map(F.lit("k"), F.col("n")).alias("m"))).drop("n")
+    kept = {tuple(sorted(R.first_copies(part).first().meta.items())) for part in (df, df.orderBy(F.desc(F.col("meta")["x"])), df.repartition(5))}
+    assert len(kept) == 1
