@@ -101,8 +101,9 @@ _ONE = str.maketrans("qxyw", "kkiv")
 _FLAT = {**{c: x.translate(_ONE) for c, x in _FOLD.items()}, **_ONE}
 _STREET = frozenset(k.translate(_FLAT) for k in re.findall(r"[^\W\d_]{2,}", f"{_BEHIND}|{_FRENCH}|{_BEFORE}") if k not in ("de", "do", "da", "dos"))
 
-#: Distinct partners that a first name must have among the seeds.
-SEED_PARTNERS = 3
+#: Distinct partners that a first name must have among the seeds, and the part of its mentions
+#: that seeds must make up: a number alone is reached by anything in enough texts.
+SEED_PARTNERS, SEED_SHARE = 3, 0.05
 #: Rounds of scoring, and the score that patterns and instances of a kind need. Only some
 #: identity numbers have a form of their own, so their seeds fill a smaller part of a pattern.
 ROUNDS, SCORES = 3, {"name": 0.5, "idnum": 0.25}
@@ -363,6 +364,19 @@ def both_ways(found: DataFrame) -> DataFrame:
     return found.select("kind", "seed", F.explode(ways).alias("m")).select("kind", "m.*", "seed")
 
 
+def sown(mentions: DataFrame, fit: DataFrame) -> DataFrame:
+    """kind and instance of the seeds: words that have more partners than most of the partners they are sown with.
+
+    A surname, too, goes with several first names where texts are many, but with fewer words than they do.
+    """
+    able = fit.where(F.col("sown") >= F.greatest(F.lit(SEED_PARTNERS), SEED_SHARE * F.col("total")))
+    other = fit.select("kind", F.col("instance").alias("partner"), F.col("partners").alias("theirs"))
+    beside = mentions.where("seed").select("kind", "instance", "partner").distinct().join(able.select("kind", "instance", "partners"), ["kind", "instance"])
+    led = F.count_if(F.col("partners") > F.coalesce("theirs", F.lit(0)))
+    ahead = beside.join(other, ["kind", "partner"], "left").groupBy("kind", "instance").agg(led.alias("led"), F.count("*").alias("seeds"))
+    return ahead.where((F.col("led") >= SEED_PARTNERS) & (2 * F.col("led") > F.col("seeds"))).select("kind", "instance")
+
+
 def bootstrap(texts: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) -> Model:
     """The model of all texts; texts: text and hints (user names, addresses, display names).
 
@@ -371,10 +385,10 @@ def bootstrap(texts: DataFrame, rounds: int = ROUNDS, lexicon: int = LEXICON) ->
     mentions = both_ways(stored(texts.select("text", "hints").where("text is not null").mapInArrow(_mentions, _MENTION), "mentions"))
     graph = stored(mentions.groupBy("kind", "instance", "pattern").agg(F.count("*").alias("n")), "graph")
     pairs = mentions.groupBy("kind", "instance", "partner").agg(F.count("*").alias("n"), F.count_if("seed").alias("s"))
-    spread = pairs.groupBy("kind", "instance").agg(F.count("*").alias("partners"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count_if(F.col("s") > 0).alias("seeds"))
+    spread = pairs.groupBy("kind", "instance").agg(F.count("*").alias("partners"), F.sum("n").alias("total"), F.max("n").alias("most"), F.sum("s").alias("sown"))
     # a first name goes with many surnames, a label with many numbers, a fixed phrase with one word
     fit = stored(spread.where((F.col("partners") >= SEED_PARTNERS) & (F.col("most") <= ONE_PARTNER * F.col("total"))), "spread")
-    seeds = fit.where(F.col("seeds") >= SEED_PARTNERS).select("kind", "instance")
+    seeds = sown(mentions, fit)
     need = F.when(F.col("kind") == "name", SCORES["name"]).otherwise(SCORES["idnum"])
     known = seeds
     for _ in range(rounds):

@@ -183,6 +183,15 @@ def test_bootstrap_learns_names_and_labels(spark):
     assert got == {1: ("see [NAME], [EMAIL]", ["email", "name"]), 2: (None, []), 3: ("", []), 4: ("nothing here", [])}
 
 
+def test_surnames_of_many_people_stay_surnames(spark):
+    names = [(a, b) for a in ("Petra", "Milan", "Clara", "Hugo") for b in ("Bekski", "Lemkato", "Trolosk", "Fenmann", "Daldrez", "Vorkuist", "Shagri", "Nokdal")]
+    said = ("thanks, {}", "write to {} today", "regards {}!")
+    df = spark.createDataFrame([(said[i % 3].format(f"{a} {b}"), f"{a}_{b}".lower()) for i, (a, b) in enumerate(names)], "text string, hints string")
+    model = personal.bootstrap(df)
+    assert model.first == {"petra", "milan", "clara", "hugo"}
+    assert {tuple(r.kinds) for r in personal.kinds(df, model).collect()} == {("name",)}
+
+
 def test_plain_addresses(spark):
     df = spark.createDataFrame([("A.B (at) host [dot] co [dot] example; a.b@host.co.example",)], "t string")
     assert df.select(addresses.emails(F.col("t"))).first()[0] == ["a.b@host.co.example"]
