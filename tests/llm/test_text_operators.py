@@ -132,6 +132,14 @@ def test_blocks_are_bounded_and_skipped(spark):
                 assert (7, i, j) in cells
 
 
+def test_smaller_sets_meet_at_fewer_words(spark):
+    sets = spark.createDataFrame([(i, 20, 0, 0, list(range(20))) for i in range(10)], "id bigint, n int, b0 bigint, b1 bigint, toks array<bigint>")
+    small, large = near._cells(near.postings(sets), near.PERCENT)
+    # sets of 20 words share 16 with their like, 13 with the smallest that resemble them
+    assert small.count() == 10 * 5 and large.count() == 10 * 8
+    assert near.similar_classes(sets).count() == 45
+
+
 # terms
 
 
